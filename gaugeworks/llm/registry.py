@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import table
+from gaugeworks.llm.chat import link_tool_calls
+from gaugeworks.llm.common import n_words, table
+from gaugeworks.llm.mixing import taken_words
+from gaugeworks.llm.packing import pack
 from gaugeworks.llm.sharding import shard_by_bytes
 
 
@@ -16,9 +19,57 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    out = taken_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in token-budget batches of padding-minimal widths."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+CHAT_SCHEMAS = {"ask": {"text": ("string", True), "words": ("integer", True), "language": ("string", False)}}
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call whose result is the assistant's next turn, linked and checked."""
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda at: F.concat_ws("-", "conv_id", at)
+    arguments = F.to_json(F.struct(n_words(F.col("text")).alias("words"), F.col("text").alias("text")))
+    calls = turns.where("role = 'user'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit("ask").alias("name"), arguments.alias("arguments"), call_id(F.col("turn") - 2).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return link_tool_calls(calls, results, CHAT_SCHEMAS)
+
+
+OP10_SQL = r"""
+with u as (
+  select conv_id, turn, text, concat_ws('-', conv_id, turn) call_id,
+         turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) island
+  from conversations where role = 'user'),
+c as (
+  select *, cast(row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as bigint) lvl,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) words from u),
+a as (select conv_id, turn, text, concat_ws('-', conv_id, turn - 1) call_id from conversations where role = 'assistant')
+select coalesce(c.conv_id, a.conv_id) conv_id, coalesce(c.call_id, a.call_id) call_id, coalesce(c.turn, a.turn) turn, lvl as level,
+       case when c.call_id is null then 'orphan' when a.call_id is null then 'unanswered' else 'linked' end status,
+       case when c.call_id is null then null when c.text is null then 'missing:text' else '' end problems,
+       cast(case when c.call_id is null then 0 else 1 end as bigint) n_calls,
+       cast(case when a.call_id is null then 0 else 1 end as bigint) n_results,
+       '{"arguments":' || case when c.call_id is null then 'null' when c.text is null then '{"words":0}'
+            else '{"text":' || cast(to_json(c.text) as varchar) || ',"words":' || words || '}' end
+       || ',"call_id":"' || coalesce(c.call_id, a.call_id) || '","conversation":' || coalesce(c.conv_id, a.conv_id)
+       || ',"name":' || case when c.call_id is null then 'null' else '"ask"' end
+       || ',"result":' || case when a.text is null then 'null' else cast(to_json(a.text) as varchar) end
+       || ',"status":"' || case when c.call_id is null then 'orphan' when a.call_id is null then 'unanswered' else 'linked' end || '"}' as json
+from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op8_packing": op8_packing, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat": OP10_SQL}
