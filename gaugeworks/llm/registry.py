@@ -10,6 +10,7 @@ from gaugeworks.llm.common import n_words, table
 from gaugeworks.llm.mixing import taken_words
 from gaugeworks.llm.packing import pack
 from gaugeworks.llm.sharding import shard_by_bytes
+from gaugeworks.llm.warc import round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back along the verified chain."""
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
+k as (select h, max(page_id) kept from p group by h having count(*) > 1)
+select page_id, cast(strlen(html) as bigint) payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(p.h, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1) for i in range(32)], '') payload_digest,
+       case when page_id <> kept then 'revisit' else 'response' end record_type,
+       case when page_id <> kept then kept end refers_to
+from p left join k on p.h = k.h
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in token-budget batches of padding-minimal widths."""
     return pack(table(spark, sf_dir, "documents"))
@@ -68,8 +85,8 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op8_packing": op8_packing, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
