@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.llm import quality
 from gaugeworks.llm.chat import link_tool_calls
 from gaugeworks.llm.common import n_words, table
 from gaugeworks.llm.mixing import taken_words
@@ -47,6 +48,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document from its whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).select("doc_id", quality.is_held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 CHAT_SCHEMAS = {"ask": {"text": ("string", True), "words": ("integer", True), "language": ("string", False)}}
 
 
@@ -85,7 +94,7 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
