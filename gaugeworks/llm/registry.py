@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import quality
+from gaugeworks.llm import lm, quality
 from gaugeworks.llm.chat import link_tool_calls
 from gaugeworks.llm.common import n_words, table
 from gaugeworks.llm.mixing import taken_words
@@ -21,6 +21,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, lm.crc_mod(F.col("doc_id"), 7) != 2)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     out = taken_words(table(spark, sf_dir, "documents"))
@@ -94,7 +100,7 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
