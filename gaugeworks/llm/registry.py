@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import lm, quality
 from gaugeworks.llm.chat import link_tool_calls
 from gaugeworks.llm.common import n_words, table
+from gaugeworks.llm.minhash import near_duplicates
 from gaugeworks.llm.mixing import taken_words
 from gaugeworks.llm.packing import pack
 from gaugeworks.llm.sharding import shard_by_bytes
@@ -49,6 +50,11 @@ from p left join k on p.h = k.h
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in token-budget batches of padding-minimal widths."""
     return pack(table(spark, sf_dir, "documents"))
@@ -100,7 +106,7 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op7_minhash": op7_minhash, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
