@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import lm, quality
 from gaugeworks.llm.chat import link_tool_calls
 from gaugeworks.llm.common import n_words, table
+from gaugeworks.llm.metric_join import near_vectors
 from gaugeworks.llm.minhash import near_duplicates
 from gaugeworks.llm.mixing import taken_words
 from gaugeworks.llm.packing import pack
@@ -34,6 +35,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back along the verified chain."""
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -106,7 +112,7 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op7_minhash": op7_minhash, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_metric_join": op5_metric_join, "op6_warc": op6_warc, "op7_minhash": op7_minhash, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
