@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import lm, quality
+from gaugeworks.llm.ann import nearest
 from gaugeworks.llm.chat import link_tool_calls
 from gaugeworks.llm.common import n_words, table
 from gaugeworks.llm.metric_join import near_vectors
@@ -23,6 +24,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings to every one whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a model of those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,7 +119,7 @@ from c full outer join a on c.conv_id = a.conv_id and c.call_id = a.call_id
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_metric_join": op5_metric_join, "op6_warc": op6_warc, "op7_minhash": op7_minhash, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_sharding": op1_sharding, "op2_ann": op2_ann, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_metric_join": op5_metric_join, "op6_warc": op6_warc, "op7_minhash": op7_minhash, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
