@@ -157,19 +157,26 @@ def similar_sets(shingle_words: int, percent: int):
     return link
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 85, symbols: int = 64, chunks: int = 12, radius: int = 22, signature_block: int = 2048, set_block: int = 384, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+def radius_for(percent: int, symbols: int, deviations: float = 4.3) -> int:
+    """Differing symbols that a pair of that similarity exceeds with a chance of about 1 in 10^5.
 
-    Texts with equal shingle sets are one class. Classes whose sets have 100 * intersection >=
-    percent * union are linked, on the full sets, if their signatures differ in at most ``radius``
-    symbols; at a similarity of 0.85 a pair exceeds 22 of 64 with probability 1.5e-5, less above.
-    component_id is the smallest doc_id of the component, kept whether it is the row's own.
+    A symbol differs with probability 1 - similarity (a little less, as 16 bits may agree by
+    chance); the count is binomial.
+    """
+    apart = 1 - percent / 100
+    return round(symbols * apart + deviations * (symbols * apart * (1 - apart)) ** 0.5)
 
-    Defined results: texts without words have no shingles and are components of their own; texts
-    of fewer words than a shingle have one; rows repeating a doc_id share their component only if
-    their texts link; a null doc_id is never the smallest unless it is alone (then component_id is
-    null and kept true); an empty table gives an empty result. Other columns are ignored.
+
+def group_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 85, symbols: int = 64, signature_block: int = 2048, set_block: int = 384, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group and component_id for every row of ``docs`` (doc_id,
+    text); group names the component, null for texts without words, which are alone.
+
+    Texts with equal shingle sets are one class. Classes whose sets have 100 * intersection >=
+    percent * union are linked, on the full sets, if their signatures differ in at most
+    ``radius_for(percent, symbols)`` symbols; chunks are as few as leave one error in each.
     """
+    radius = radius_for(percent, symbols)
+    chunks = radius // 2 + 1
     docs = docs.select("doc_id", "text")
     rows = sketches(docs, shingle_words, symbols)
     full = rows.where("n_shingles > 0")
@@ -187,7 +194,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 85,
     found = written(components(compare_in_blocks(texts, "text", similar_sets(shingle_words, percent), set_block)), "minhash-components")
     named = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(named, (F.col("class") == F.col("c")) & (F.col("n_shingles") > 0), "left")
+    named = named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), F.col("root").alias("group"), "component_id")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "class").join(named, (F.col("class") == F.col("c")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id of the component, kept whether it is the row's own.
+
+    Defined results: texts without words have no shingles and are components of their own; texts
+    of fewer words than a shingle have one; rows repeating a doc_id share their component only if
+    their texts link; a null doc_id is never the smallest unless it is alone (then component_id is
+    null and kept true); an empty table gives an empty result. Other columns are ignored.
+    """
+    out = group_near_duplicates(docs, **settings).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, broadcast_rows: int = 1_000_000, **settings) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id's, among rows of
+    that id the one of the smallest text hash, of rows that repeat it any one. Texts without words
+    all stay. All columns pass.
+
+    Only what goes, or stays once, is joined: broadcast up to ``broadcast_rows`` rows, else shuffled.
+    """
+    rows = group_near_duplicates(docs, **settings).where("group is not null")
+    own = rows.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    own = written(own, "minhash-members")
+    first = own.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash")).alias("x")).select(F.col("group").alias("g"), "x")
+    own = own.join(first, F.col("group") == F.col("g"))
+    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("text_hash") == F.col("x.text_hash"))
+    marked = own.select(F.col("doc_id").alias("__gw_d"), F.col("text_hash").alias("__gw_h"), stays.alias("__gw_once"), "n")
+    marked = written(marked.where("not __gw_once or n > 1").drop("n"), "minhash-marked")
+    small = marked.count() <= broadcast_rows
+    hashed = docs.withColumn("__gw_hash", F.xxhash64("text"))
+    met = hashed.join(F.broadcast(marked) if small else marked, F.col("doc_id").eqNullSafe(F.col("__gw_d")) & (F.col("__gw_hash") == F.col("__gw_h")), "left")
+    free = met.where("__gw_once is null").select(*docs.columns)
+    once = met.where("__gw_once").dropDuplicates(["doc_id", "__gw_hash"]).select(*docs.columns)
+    return free.unionByName(once)

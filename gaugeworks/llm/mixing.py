@@ -161,12 +161,20 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     taken in part; rounding it moves its source's sum by half a document at most. Documents of no
     words carry no weight in the mix and pass once.
     """
-    keyed = docs.withColumn("__gw_size", n_words(F.col("text")))
-    keys = Window.partitionBy("doc_id", "source", "__gw_size").orderBy(F.xxhash64("text"))
-    keyed = keyed.withColumn("__gw_copy", F.row_number().over(keys).cast("long") - 1)
-    take = taken_words(docs, **settings)
+    unit = ["doc_id", "source", "__gw_size"]
+    key = F.xxhash64(*unit)
+    keyed = docs.withColumn("__gw_size", n_words(F.col("text"))).withColumn("__gw_key", key)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
-    take = take.select(F.col("doc_id").alias("__gw_d"), F.col("source").alias("__gw_s"), F.col("size").alias("__gw_n"), F.col("copy").alias("__gw_c"), times.alias("__gw_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("__gw_d")) & F.col("source").eqNullSafe(F.col("__gw_s")) & (F.col("__gw_size") == F.col("__gw_n")) & (F.col("__gw_copy") == F.col("__gw_c"))
-    out = keyed.join(take.where("__gw_times > 0"), same)
-    return out.withColumn("__gw_k", F.explode(F.expr("sequence(1, __gw_times)"))).select(*docs.columns)
+    take = taken_words(docs, **settings).withColumn("times", times)
+    # Copies of a unit differ by one at most: all appear ``least`` times, the first ``more`` once more.
+    take = take.groupBy("doc_id", "source", "size").agg(F.min("times").alias("__gw_least"), F.sum("times").alias("sum"), F.count("*").alias("n"))
+    take = take.select(
+        F.xxhash64("doc_id", "source", "size").alias("__gw_k"), F.col("doc_id").alias("__gw_d"), F.col("source").alias("__gw_s"), F.col("size").alias("__gw_n"),
+        "__gw_least", (F.col("sum") - F.col("__gw_least") * F.col("n")).alias("__gw_more"),
+    )
+    same = (F.col("__gw_key") == F.col("__gw_k")) & F.col("doc_id").eqNullSafe(F.col("__gw_d")) & F.col("source").eqNullSafe(F.col("__gw_s")) & (F.col("__gw_size") == F.col("__gw_n"))
+    met = keyed.join(take.where("__gw_least > 0 or __gw_more > 0"), same)
+    number = F.row_number().over(Window.partitionBy("__gw_key", *unit).orderBy(F.xxhash64("text")))
+    met = met.withColumn("__gw_times", F.col("__gw_least").cast("int") + F.when(number <= F.col("__gw_more"), 1).otherwise(0))
+    met = met.where("__gw_times > 0")
+    return met.withColumn("__gw_i", F.explode(F.expr("sequence(1, __gw_times)"))).select(*docs.columns)

@@ -240,11 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     return Model(pooler, fit_network(x, y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: label 1 likelier), from the whole text alone.
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with ``column`` (0 to 1, higher: label 1 likelier), from the whole text alone.
 
-    Null and wordless texts have the vector 0 and the score that the network gives it. A column
-    named score is replaced; all others pass. The model, of fixed size, is broadcast.
+    Null and wordless texts have the vector 0 and the score that the network gives it. A column of
+    that name is replaced; all others pass. The model, of fixed size, is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -254,4 +254,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series(own.score(texts.tolist()), dtype="float64")
 
-    return docs.drop("score").withColumn("score", scored(F.col("text")))
+    return docs.withColumn(column, scored(F.col("text")))
