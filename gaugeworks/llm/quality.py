@@ -216,19 +216,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     several labels counts as 1 if any is 1; null labels are left out. Without both classes the
     score is the smoothed share of label 1 (0.5 without any row).
     """
-    own = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").where(~is_held_out() & F.col("doc_id").isNotNull()).join(own, F.col("doc_id") == F.col("labelled"))
-    sized = rows.select("doc_id", "quality", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("place"))
-    chosen = sized.where(F.col("n") <= max_bytes // 64).orderBy("place", "doc_id", "quality", "n").limit(max_rows).collect()
-    total, ids = 0, []
-    for r in chosen:
+    own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
+    own = own.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
+    # The sample is drawn from the labels alone, so that no text is shuffled to meet them.
+    drawn = F.broadcast(own.orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows))
+    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("labelled"))
+    sized = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("place"))
+    total, ids = 0, set()
+    for r in sorted(sized.where(F.col("n") <= max_bytes // 64).limit(4 * max_rows).collect(), key=lambda r: (r.place, r.doc_id, r.n)):
         total += r.n
         if total > max_bytes:
             break
-        ids.append(r.doc_id)
-    spark = docs.sparkSession
-    picked = spark.createDataFrame([(i,) for i in sorted(set(ids))], "picked long")
-    got = sorted((r.doc_id, r.text or "", int(r.quality)) for r in rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").select("doc_id", "text", "quality").collect())
+        ids.add(r.doc_id)
+    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "picked long")
+    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 64)
+    got = sorted((r.doc_id, r.text or "", int(r.quality)) for r in rows.select("doc_id", "text", "quality").limit(4 * max_rows).collect())
     texts, y = [t for _, t, _ in got], np.array([q for _, _, q in got])
     pooler = Pooler(context_table(texts, dim), dim)
     x = pooler.vectors(texts) if texts else np.zeros((0, pooler.width), np.float32)
