@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from gaugeworks.plans import evaluation
+from gaugeworks.plans.adapters import Tables
+
+MODULES = (evaluation,)
+
+
+def _bound(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Tables(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _bound(build) for m in MODULES for name, (build, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in MODULES for name, (_, text) in m.QUERIES.items() if text}
