@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.plans import evaluation
+from gaugeworks.plans import accounting, evaluation, generation, texts
 from gaugeworks.plans.adapters import Tables
 
-MODULES = (evaluation,)
+MODULES = (evaluation, accounting, generation, texts)
 
 
 def _bound(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

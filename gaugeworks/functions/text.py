@@ -53,14 +53,15 @@ def turn_lines(turn: Column, tool_chars: int = 600) -> Column:
     n = F.concat(F.lit("["), turn["index"] + 1, F.lit("] "))
     content = stripped(F.coalesce(turn["content"], F.lit("")))
     who = speaker(turn["role"])
-    calls = F.transform(F.coalesce(turn["tool_calls"], F.expr("array()").cast("array<struct<id:string,name:string,arguments:string>>")), lambda c: F.concat(n, who, F.lit(" calls "), c["name"], F.lit("("), F.coalesce(c["arguments"], F.lit("")), F.lit(")")))
+    none = F.expr("array()").cast("array<string>")
+    calls = F.coalesce(F.transform(turn["tool_calls"], lambda c: F.concat(n, who, F.lit(" calls "), c["name"], F.lit("("), F.coalesce(c["arguments"], F.lit("")), F.lit(")"))), none)
 
     def result(r: Column) -> Column:
         head = F.concat(n, F.when(F.coalesce(r["error"], F.lit(False)), "Tool error").otherwise("Tool result"), F.lit(" -> "), speaker(r["requestor"]), F.lit(": "))
         return F.concat(head, clip(stripped(F.coalesce(r["content"], F.lit(""))), tool_chars))
 
-    results = F.transform(F.coalesce(turn["tool_results"], F.expr("array()").cast("array<struct<id:string,requestor:string,content:string,error:boolean>>")), result)
-    said = F.when(content != "", F.array(F.concat(n, who, F.lit(": "), content))).when(F.size(calls) == 0, F.array(F.concat(n, who, F.lit(": [empty message]")))).otherwise(F.expr("array()").cast("array<string>"))
+    results = F.coalesce(F.transform(turn["tool_results"], result), none)
+    said = F.when(content != "", F.array(F.concat(n, who, F.lit(": "), content))).when(F.size(calls) == 0, F.array(F.concat(n, who, F.lit(": [empty message]")))).otherwise(none)
     return F.when(turn["role"] == "tool", results).otherwise(F.concat(said, calls))
 
 
@@ -94,7 +95,8 @@ def pairwise_prompt(criterion: Column, description: Column, prompt: Column, a: C
 def context_key(context: Column) -> Column:
     """16 hexadecimal digits that tell contexts apart by domain, task, policy, persona,
     instructions, tool names and documents; purpose and tool schemas play no part."""
-    names = lambda tools: F.array_sort(F.transform(F.coalesce(tools, F.expr("array()").cast("array<struct<name:string>>")), lambda t: t["name"]))
+    none = F.expr("array()").cast("array<string>")
+    names = lambda tools: F.coalesce(F.array_sort(F.transform(tools, lambda t: t["name"])), none)
     return F.substring(F.sha2(F.to_json(F.struct(
         names(context["agent_tools"]).alias("agent_tools"), context["domain"].alias("domain"), context["policy"].alias("policy"),
         F.array_sort(context["required_documents"]).alias("required_documents"), context["task_id"].alias("task_id"),

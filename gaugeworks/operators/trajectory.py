@@ -49,13 +49,14 @@ def nested_stats(turns: Column) -> Column:
     none = F.expr("array()").cast("array<string>")
     spoken = F.filter(turns, lambda t: is_spoken(t["role"], t["content"]))
     calls = lambda keep: F.flatten(F.transform(F.filter(turns, keep), lambda t: F.coalesce(F.transform(t["tool_calls"], lambda c: c["name"]), none)))
-    results = F.flatten(F.transform(turns, lambda t: t["tool_results"]))
-    docs = F.flatten(F.transform(F.filter(F.coalesce(results, F.expr("array()").cast("array<struct<error:boolean,doc_ids:array<string>>>")), lambda r: r["doc_ids"].isNotNull()), lambda r: r["doc_ids"]))
+    found = lambda t: F.transform(F.filter(t["tool_results"], lambda r: r["doc_ids"].isNotNull()), lambda r: r["doc_ids"])
+    docs = F.flatten(F.flatten(F.transform(turns, lambda t: F.coalesce(found(t), F.expr("array()").cast("array<array<string>>")))))
+    errors = lambda t: F.size(F.filter(t["tool_results"], lambda r: F.coalesce(r["error"], F.lit(False))))
     return F.struct(
         F.size(turns).alias("n_messages"), F.size(spoken).alias("spoken_turns"),
         F.aggregate(spoken, F.lit(0), lambda s, t: s + word_count(t["content"])).alias("spoken_words"),
         calls(lambda t: t["role"] != "user").alias("agent_tools"), calls(lambda t: t["role"] == "user").alias("user_tools"),
-        F.size(F.filter(results, lambda r: F.coalesce(r["error"], F.lit(False)))).alias("tool_errors"), F.array_distinct(docs).alias("doc_ids"),
+        F.aggregate(turns, F.lit(0), lambda s, t: s + F.coalesce(F.greatest(errors(t), F.lit(0)), F.lit(0))).alias("tool_errors"), F.array_distinct(docs).alias("doc_ids"),
     )
 
 
