@@ -108,3 +108,25 @@ def level_map(reply: Column, levels: tuple[str, ...]) -> Column:
 def all_levels_filled(instructions: Column, levels: tuple[str, ...]) -> Column:
     wanted = F.array(*(F.lit(x) for x in levels))
     return F.forall(wanted, lambda x: F.coalesce(stripped(F.try_element_at(instructions, x)), F.lit("")) != "")
+
+
+def retrieved_documents(content: Column) -> Column:
+    """struct(docs, failed) of a retrieval tool's text: numbered blocks that hold an ID line.
+
+    A block runs to the next numbered line. failed: nothing could be read although the text is long
+    (200 characters) or names ids; a short text without ids is an empty result.
+    """
+    whole = stripped(F.coalesce(content, F.lit("")))
+    blocks = F.regexp_extract_all(whole, F.lit(r"(?ms)^[ \t]*\d+\..*?(?=^[ \t]*\d+\.|\z)"), F.lit(0))
+    field = lambda b, p: F.nullif(F.regexp_extract(b, p, 1), F.lit(""))
+    docs = F.transform(
+        F.filter(blocks, lambda b: b.rlike(r"(?m)^[ \t]*ID:[ \t]*\S")),
+        lambda b: F.struct(
+            field(b, r"^[ \t]*(\d+)\.").try_cast("int").alias("rank"), field(b, r"(?m)^[ \t]*ID:[ \t]*(\S+)").alias("doc_id"),
+            F.nullif(stripped(F.regexp_extract(b, r"^[ \t]*\d+\.[ \t]*([^\n]*)", 1)), F.lit("")).alias("title"),
+            field(b, r"(?m)^[ \t]*Score:[ \t]*([-\d.eE+]+)").try_cast("double").alias("score"),
+            stripped(F.regexp_extract(b, r"(?ms)^[ \t]*Content:[ \t]*(.*)", 1)).alias("content"),
+        ),
+    )
+    unread = (F.length(whole) >= 200) | (F.instr(whole, "ID:") > 0)
+    return F.struct(docs.alias("docs"), ((F.size(docs) == 0) & unread).alias("failed"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,41 +24,3 @@ def seeded_choice(options: list[str]):
         return key.map(lambda k: random.Random(k).choice(ordered))
 
     return choose
-
-
-_HEAD = re.compile(r"^[ \t]*(\d+)\.[ \t]*(.*)$", re.M)
-_ID, _SCORE, _BODY = (re.compile(p, f) for p, f in ((r"^[ \t]*ID:[ \t]*(\S+)", re.M), (r"^[ \t]*Score:[ \t]*([-\d.eE+]+)", re.M), (r"^[ \t]*Content:[ \t]*(.*)", re.M | re.S)))
-DOCUMENTS = T.StructType([
-    T.StructField("docs", T.ArrayType(T.StructType([
-        T.StructField("rank", T.IntegerType()), T.StructField("doc_id", T.StringType()), T.StructField("title", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("content", T.StringType()),
-    ]))),
-    T.StructField("failed", T.BooleanType()),
-])
-
-
-def _number(text: str | None) -> float | None:
-    try:
-        return float(text) if text is not None else None
-    except ValueError:
-        return None
-
-
-def parse_documents(content: str | None) -> tuple[list[tuple], bool]:
-    """Numbered blocks with an ID line, up to the next numbered line; and whether nothing could be
-    read although the text is long or names ids."""
-    text = (content or "").strip()
-    heads = list(_HEAD.finditer(text))
-    docs = []
-    for head, end in zip(heads, [h.start() for h in heads[1:]] + [len(text)], strict=True):
-        block = text[head.end() : end]
-        found, score, body = _ID.search(block), _SCORE.search(block), _BODY.search(block)
-        if found:
-            docs.append((int(head[1]), found[1], head[2].strip() or None, _number(score and score[1]), body[1].strip() if body else ""))
-    return docs, bool(text) and not docs and (len(text) >= 200 or "ID:" in text)
-
-
-@F.pandas_udf(DOCUMENTS)
-def retrieved_documents(content: pd.Series) -> pd.DataFrame:
-    rows = [parse_documents(c) for c in content]
-    return pd.DataFrame({"docs": [d for d, _ in rows], "failed": [f for _, f in rows]})
