@@ -200,7 +200,8 @@ class Model:
     network: Network
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return self.network.score(self.pooler.vectors(texts))
+        """Probabilities to 9 digits: beyond that they depend on how rows are batched."""
+        return np.round(self.network.score(self.pooler.vectors(texts)), 9)
 
 
 def is_held_out(doc_id="doc_id"):
