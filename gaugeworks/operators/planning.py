@@ -58,6 +58,20 @@ def gap_of_levels(a: Column, b: Column) -> Column:
     return F.when(apart > 1, "wide").otherwise("adjacent")
 
 
+def gap_name(levels: Column) -> Column:
+    """The gap of two levels in either order; '?' for any other pair."""
+    wanted = F.array_join(F.array_sort(levels), "-")
+    name = F.lit("?")
+    for gap, pair in GAPS.items():
+        name = F.when(wanted == "-".join(sorted(pair)), gap).otherwise(name)
+    return F.coalesce(name, F.lit("?"))
+
+
+def same_context(pair_key: Column, key_1: Column, key_2: Column) -> Column:
+    """Whether a pair and both its trajectories carry one context key."""
+    return (pair_key == key_1) & (key_1 == key_2)
+
+
 def hashed_choice(key: Column, options: list[str]) -> Column:
     """A choice by md5 of the key, the same in any engine."""
     at = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % len(options)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks import schemas
-from gaugeworks.operators.keyed import attach_answers, latest
+from gaugeworks.operators.keyed import attach_answers, guarded_lookup, latest
 
 #: Bookkeeping files beside trajectories. Fixed values.
 BOOKKEEPING = ("index.json", "instructions.json", "votes.json", "rejects.json", "run.json", "usage.json", "summary.json")
@@ -107,6 +107,16 @@ def trajectories(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], f"{schemas.TRAJECTORY}, file string")
 
 
+def simulations(spark: SparkSession, path: str, schema: str, tasks: DataFrame) -> DataFrame:
+    """Saved simulations with their task; one whose task_id is unknown is an error when read."""
+    return guarded_lookup(json_array(spark, path, schema), tasks, "task_id")
+
+
+def having_artifact(cells: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells for which an artifact of the same key exists."""
+    return cells.join(found.select(*keys), keys, "left_semi")
+
+
 def results(spark: SparkSession, root: str) -> DataFrame:
     """Rows of all <label>.results.json, with the label."""
     label = F.regexp_extract(_name(), r"^(.*)\.results\.json$", 1)

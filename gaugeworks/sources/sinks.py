@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks import schemas
 from gaugeworks.functions.text import tail
 from gaugeworks.operators.keyed import upsert
+from gaugeworks.sources.readers import pair_files
 
 
 def save(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -68,6 +69,34 @@ def split_dataset(pairs: DataFrame, dataset: str, answers: str) -> None:
     save(answer_rows(pairs), answers)
 
 
+def concat_pairs(spark: SparkSession, root: str, path: str) -> None:
+    """All readable pair files as one relation; unreadable records are left out."""
+    save(pair_files(spark, root).where("id is not null").drop("file"), path)
+
+
+def put_accounting(rows: DataFrame, run_id: str, path: str) -> None:
+    """Append a run's call records, so that a run that is killed leaves what it spent."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def clear_accounting(spark: SparkSession, run_id: str, path: str) -> None:
+    """Drop a finished run's records: its partition."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def publish_stage_usage(artifacts: DataFrame, usage: DataFrame, path: str, key: str = "item_id") -> None:
+    """Artifacts with their stage usage assigned (never added to what they had)."""
+    rest = artifacts.drop(*(c for c in usage.columns if c != key))
+    replace(rest.join(usage, key, "left"), path)
+
+
+def dump_usage(calls: DataFrame, summary: DataFrame, path: str) -> None:
+    """The meter's two halves: the summary and the records behind it."""
+    save(summary, f"{path}/summary")
+    save(calls, f"{path}/records")
+
+
 def smoke_path(out: str, limit: int | None) -> str:
     """Limited runs write beside the real output, never over it."""
     return f"{out}/smoke-{limit}" if limit else out

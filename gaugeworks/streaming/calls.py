@@ -28,7 +28,7 @@ def running_progress(calls: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, delay: str = "10 minutes", length: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums per event type and window of event time; rows later than ``delay`` behind
-    the newest are dropped when ``events`` is a stream."""
+    the newest are dropped when ``events`` is a stream, whose ts must be a timestamp with a zone."""
     at = F.window("ts", length, slide) if slide else F.window("ts", length)
     agg = events.withWatermark("ts", delay).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return agg.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

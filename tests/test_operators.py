@@ -180,3 +180,83 @@ def test_turn_calls(spark):
     rows = spark.createDataFrame([("k", 1, [(None, 1.0), ((5, None), None)])], "key string, attempt int, turns array<struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint>,generation_time_s:double>>")
     got = trajectory.turn_calls(rows).collect()
     assert [(r.prompt_tokens, r.completion_tokens, r.latency_s, r.reasoning_source) for r in got] == [(5, 0, 0.0, "unavailable")]
+
+
+def test_accounting_of_killed_runs(spark, tmp_path):
+    path, rows = str(tmp_path / "acc"), spark.createDataFrame([(10,), (5,)], "total_tokens long")
+    for run in ("done", "killed", "now"):
+        sinks.put_accounting(rows, run, path)
+    sinks.clear_accounting(spark, "done", path)
+    lost = keyed.recovered(spark.read.parquet(path), spark.createDataFrame([("done",)], "run_id string"), "now")
+    assert {r.run_id for r in lost.collect()} == {"killed"} and lost.agg(F.sum("total_tokens")).first()[0] == 15
+
+
+def test_usage_is_assigned_not_added(spark, tmp_path):
+    path = str(tmp_path / "art")
+    rows = spark.createDataFrame([("a", 7), ("b", 1)], "item_id string, tokens long")
+    sinks.save(rows, path, "parquet")
+    sinks.publish_stage_usage(spark.read.parquet(path), spark.createDataFrame([("a", 9)], "item_id string, tokens long"), path)
+    assert {(r.item_id, r.tokens) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", None)}
+    sinks.dump_usage(rows, rows.agg(F.sum("tokens").alias("tokens")), str(tmp_path / "dump"))
+    assert spark.read.json(str(tmp_path / "dump/summary")).first().tokens == 8
+
+
+def test_gap_names_and_contexts(spark):
+    rows = spark.createDataFrame([(["ok", "bad"],), (["ok", "good"],), (["good", "bad"],), (["ok", "ok"],), (None,)], "l array<string>")
+    assert [r[0] for r in rows.select(planning.gap_name(F.col("l"))).collect()] == ["narrow_low", "narrow_high", "wide", "?", "?"]
+    keys = spark.createDataFrame([("k", "k", "k"), ("k", "k", "j")], "p string, a string, b string")
+    assert [r[0] for r in keys.select(planning.same_context(F.col("p"), F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_windows_agree_between_stream_and_batch(spark):
+    source = "/root/testdata/sf0.001"
+    instant = F.col("ts").cast("timestamp")
+    batch = spark.read.parquet(f"{source}/events.parquet")
+    events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(source)
+    batch = batch.withColumn("ts", instant)
+    stream.run_once(stream.windowed(events.withColumn("ts", instant)), "windows", "complete")
+    key = lambda df: sorted((str(r.window_start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
+    assert key(spark.table("windows")) == key(stream.windowed(batch)) != []
+
+
+def test_run_records(spark):
+    from gaugeworks.operators import reporting
+
+    maps = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3})], "o map<string,int>, n map<string,int>")
+    assert maps.select(reporting.merged_maps(F.col("o"), F.col("n"))).first()[0] == {"a": 1, "b": 3}
+    assert maps.select(reporting.unknown_fields(F.col("o"), ("a",))).first()[0] == {"b": 2}
+    rows = spark.createDataFrame([("x", 0.0), ("y", 1.0), ("z", None)], "label string, temperature double")
+    assert [r.label for r in reporting.not_greedy(rows).collect()] == ["y"]
+    gaps = spark.createDataFrame([("wide",), ("narrow_low",), ("narrow_high",)], "gap string")
+    assert [r.gap for r in reporting.in_gap_order(gaps).collect()] == ["narrow_low", "narrow_high", "wide"]
+    order = [r.label for r in reporting.shuffled(rows, "s", "label").collect()]
+    assert order == [r.label for r in reporting.shuffled(rows.repartition(3), "s", "label").collect()]
+    cells = spark.createDataFrame([("k", "failed", "d" * 99), ("l", "kept", "")], "key string, state string, detail string")
+    assert [(r.key, len(r.detail)) for r in reporting.failed(cells).collect()] == [("k", 60)]
+    roster = spark.createDataFrame([("y", 0), ("x", 1)], "label string, position int")
+    assert [r.label for r in reporting.of_roster(roster, rows).collect()] == ["y", "x"]
+    assert reporting.with_usage(rows, rows.limit(1).select("label", F.lit(1).alias("calls"))).where("calls is null").count() == 2
+    assert reporting.overlapped(rows).first().interval == "overlapped"
+    lost = spark.createDataFrame([("x", 1), ("x", 1), ("y", 1)], "label string, id int")
+    assert reporting.lost_pairs(lost).first().lost == 2
+    told = spark.createDataFrame([("c", {"bad": "b"})], "name string, instructions map<string,string>")
+    assert reporting.baseline_instruction(told, "bad").first().instruction == "b"
+    with pytest.raises(Exception, match="no good instruction for c"):
+        reporting.baseline_instruction(told, "good").collect()
+
+
+def test_artifacts_and_lookups(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([{"id": "1", "task_id": "t"}]))
+    tasks = spark.createDataFrame([("t", "text")], "task_id string, purpose string")
+    assert readers.simulations(spark, str(tmp_path / "s.json"), "id string, task_id string", tasks).first().purpose == "text"
+    with pytest.raises(Exception, match="unknown t"):
+        readers.simulations(spark, str(tmp_path / "s.json"), "id string, task_id string", tasks.limit(0)).collect()
+    cells = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert [r.key for r in readers.having_artifact(cells, cells.where("key = 'a'"), ["key"]).collect()] == ["a"]
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "n", "description": "d"}, {"name": "n", "description": "e"}]))
+    with pytest.raises(Exception, match="bad criterion n"):
+        readers.criteria(spark, str(tmp_path / "c.json")).collect()
+    (tmp_path / "v.json").write_text(json.dumps({"votes": [{"id": "1", "judge": "judge1", "side": 2}]}))
+    assert readers.votes(spark, str(tmp_path / "v.json")).first().side == 2
+    (tmp_path / "m.results.json").write_text(json.dumps([{"id": "1", "correct_response": 1, "runs": [{"run": 0, "score_1": 0.5, "correct": False}]}]))
+    assert readers.flat_runs(readers.results(spark, str(tmp_path))).first().label == "m"
