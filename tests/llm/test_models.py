@@ -252,3 +252,18 @@ def test_pipeline_stages(spark):
     packed = stages[3](spark, mixed, root)
     assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len(words(r.text)) for r in mixed.collect())
     assert corpus_pipeline.run(spark, root).count() == packed.count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, empty, tmp_path):  # noqa: F811
+    spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(120)] + [(None, 1), (7, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs.withColumns({c: F.lit("x") for c in ("n", "x", "group", "node", "root", "copy", "taken", "place", "width", "batch", "before")})
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    for stage in stages[:3]:
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns and 0 < out.count()
+        nothing = stage(spark, rows.limit(0), str(tmp_path))
+        assert nothing.columns == rows.columns and nothing.count() == 0
+    assert stages[3](spark, rows, str(tmp_path)).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+    assert stages[3](spark, rows.limit(0), str(tmp_path)).count() == 0
+    kept = stages[1](spark, rows, str(tmp_path))
+    assert kept.where("doc_id in (200, 201, 202)").count() == 3 and kept.where("text = 'same text here'").count() == 1
