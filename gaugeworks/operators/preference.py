@@ -17,19 +17,19 @@ def higher_score(score_1: Column, score_2: Column) -> Column:
     return F.when(score_1 > score_2, F.lit(1)).when(score_2 > score_1, F.lit(2))
 
 
-def assemble_runs(scores: DataFrame, labels: DataFrame, pairs: DataFrame, n_runs: int = 3) -> DataFrame:
+def assemble_runs(scores: DataFrame, pairs: DataFrame, n_runs: int = 3) -> DataFrame:
     """One row per (label, id, run) of the grid, with both scores and the preference.
 
     ``scores`` (label, id, side, run, score) may lack rows; a side without a score makes the run an
-    error. Labels without any score have no rows. ``pairs`` carries correct_response and whatever
-    axes later steps slice by.
+    error. The labels are those with a score: one without any has no rows. ``pairs`` carries
+    correct_response and whatever axes later steps slice by.
     """
     sides = scores.groupBy("label", "id", "run").agg(
         F.max(F.when(F.col("side") == 1, F.col("score"))).alias("score_1"),
         F.max(F.when(F.col("side") == 2, F.col("score"))).alias("score_2"),
     )
-    alive = scores.where("score is not null").select("label").distinct()
-    grid = task_grid(labels.join(alive, "label", "left_semi"), pairs, n_runs)
+    alive = sides.where("score_1 is not null or score_2 is not null").select("label").distinct()
+    grid = task_grid(alive, pairs, n_runs)
     out = grid.join(sides, ["label", "id", "run"], "left")
     higher = higher_score(F.col("score_1"), F.col("score_2"))
     return out.withColumns({

@@ -20,7 +20,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def runs(t: Tables) -> DataFrame:
-    return preference.assemble_runs(a.scores(t), a.labels(t), a.pairs(t))
+    return preference.assemble_runs(a.scores(t), a.pairs(t))
 
 
 def kept_intents(t: Tables) -> tuple[DataFrame, DataFrame]:
