@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ARMS = ("D0", "D1", "D2")
@@ -51,18 +51,19 @@ def cohen_kappa(votes: DataFrame) -> DataFrame:
 def krippendorff_alpha(votes: DataFrame, by: list[str]) -> DataFrame:
     """Nominal alpha per group, for any number of raters per unit; units with one vote are left out.
 
-    A unit with m votes, c of them for each value, adds (m^2 - sum c^2) / (m - 1) to the observed
-    disagreement, so nothing is paired up.
+    A unit with m votes, c of them for each value, adds sum c * (m - c) / (m - 1) to the observed
+    disagreement, so nothing is paired up and one pass over the value counts is enough.
     """
     cells = votes.groupBy(*by, "id", "judge_preference").agg(F.count("*").alias("c"))
-    units = cells.groupBy(*by, "id").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("m >= 2")
-    used = cells.join(units.select(*by, "id"), [*by, "id"], "left_semi").groupBy(*by, "judge_preference").agg(F.sum("c").alias("nv"))
-    seen = units.groupBy(*by).agg(F.count("*").alias("units"), F.sum("m").alias("n"), F.sum((F.col("m") * F.col("m") - F.col("cc")) / (F.col("m") - 1)).alias("apart"),
-                                  F.sum(F.when(F.col("cc") == F.col("m") * F.col("m"), 1).otherwise(0)).alias("unanimous"))
-    margins = used.groupBy(*by).agg(F.sum(F.col("nv") * F.col("nv")).alias("squares"))
+    unit = Window.partitionBy(*by, "id")
+    cells = cells.withColumns({"m": F.sum("c").over(unit), "place": F.row_number().over(unit.orderBy("judge_preference"))}).where("m >= 2")
+    c, m = F.col("c"), F.col("m")
+    values = cells.groupBy(*by, "judge_preference").agg(
+        F.sum("c").alias("nv"), F.sum(c * (m - c) / (m - 1)).alias("apart"),
+        F.sum((F.col("place") == 1).cast("int")).alias("units"), F.sum((c == m).cast("int")).alias("unanimous"))
+    out = values.groupBy(*by).agg(F.sum("units").alias("units"), F.sum("unanimous").alias("unanimous"), F.sum("nv").alias("n"), F.sum("apart").alias("apart"), F.sum(F.col("nv") * F.col("nv")).alias("squares"))
     n = F.col("n")
     observed, expected = F.col("apart") / n, (1 - F.col("squares") / (n * n)) * n / (n - 1)
-    out = seen.join(margins, by) if by else seen.crossJoin(margins)
     return out.select(*by, "units", "unanimous", (1 - F.try_divide(observed, expected)).alias("alpha"))
 
 

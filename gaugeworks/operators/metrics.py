@@ -18,20 +18,22 @@ def _deviation(c: str) -> Column:
     return F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c))
 
 
+def _per_side(runs: DataFrame) -> DataFrame:
+    """Each run once per side, so that one pass gives both rates and the spread of scores: rates
+    are the same over runs and over their two rows."""
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"score_{i}").alias("score")) for i in (1, 2)))
+    return predicates(runs).withColumn("s", F.explode(sides)).select("*", "s.side", "s.score").drop("s")
+
+
 def summary(runs: DataFrame) -> DataFrame:
     """Per label: counts, accuracy, tie and error rate, distinct scores and their deviation."""
-    runs = predicates(runs)
-    rates = runs.groupBy("label").agg(
-        F.count("*").alias("n_expected"), F.count("score_1").alias("n_scored"),
-        F.sum((~F.col("scored")).cast("int")).alias("n_errors"),
+    first = F.col("side") == 1
+    return _per_side(runs).groupBy("label").agg(
+        F.sum(first.cast("int")).alias("n_expected"), F.sum((first & F.col("scored")).cast("int")).alias("n_scored"),
+        F.sum((first & ~F.col("scored")).cast("int")).alias("n_errors"),
         share(F.col("correct")).alias("accuracy"), share(F.col("tie")).alias("tie_rate"), share(~F.col("scored")).alias("error_rate"),
+        F.count_distinct("score").alias("distinct_scores"), F.when(F.count("score") > 1, F.stddev_pop("score")).otherwise(0.0).alias("score_sd"),
     )
-    scores = runs.select("label", F.explode(F.array("score_1", "score_2")).alias("score"))
-    spread = scores.groupBy("label").agg(
-        F.count_distinct("score").alias("distinct_scores"),
-        F.when(F.count("score") > 1, F.stddev_pop("score")).otherwise(0.0).alias("score_sd"),
-    )
-    return rates.join(spread, "label", "left")
 
 
 def stability(runs: DataFrame) -> DataFrame:
@@ -85,16 +87,12 @@ def run_metrics(runs: DataFrame) -> DataFrame:
 
 def commitment(runs: DataFrame) -> DataFrame:
     """Per label: accuracy, ties and commitment in percent, accuracy where committed, levels used."""
-    runs = predicates(runs)
     pct = lambda c: 100 * share(c)
-    hits = F.sum((F.col("committed") & F.col("correct")).cast("int"))
-    rates = runs.groupBy("label").agg(
-        pct(F.col("correct")).alias("acc_pct"), pct(F.col("tie")).alias("tie_pct"), F.sum((~F.col("scored")).cast("int")).alias("errs"),
-        pct(F.col("committed")).alias("commit_pct"),
-        (100 * F.try_divide(hits, F.sum(F.col("committed").cast("int")))).alias("acc_committed_pct"),
+    return _per_side(runs).groupBy("label").agg(
+        pct(F.col("correct")).alias("acc_pct"), pct(F.col("tie")).alias("tie_pct"), F.sum(((F.col("side") == 1) & ~F.col("scored")).cast("int")).alias("errs"),
+        pct(F.col("committed")).alias("commit_pct"), (100 * F.avg(F.when(F.col("committed"), F.col("correct").cast("int")))).alias("acc_committed_pct"),
+        F.count_distinct("score").alias("levels"),
     )
-    levels = runs.select("label", F.explode(F.array("score_1", "score_2")).alias("score")).groupBy("label").agg(F.count_distinct("score").alias("levels"))
-    return rates.join(levels, "label", "left")
 
 
 def commitment_spread(rows: DataFrame) -> DataFrame:
