@@ -90,3 +90,35 @@ def quality_checks(pairs: DataFrame) -> DataFrame:
     checked = pairs.select(F.explode(tests).alias("t")).groupBy("t.rule").agg(F.sum("t.bad").cast("long").alias("violations"))
     repeated = pairs.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("violations"))
     return checked.unionByName(repeated.select(F.lit("id repeats").alias("rule"), "violations"))
+
+
+#: Fields of a message that have columns of their own. Fixed values.
+MODELLED = ("role", "content", "tool_calls", "turn_idx")
+_FIELDS = "map<string,variant>"
+
+
+def split_message(message: Column) -> Column:
+    """struct(role, content, tool_calls, turn_idx, modelled, extra) of a message's JSON text.
+
+    modelled and extra hold the fields with and without columns as JSON, so that the message can be
+    rebuilt exactly; an empty list of tool calls is none.
+    """
+    fields = F.from_json(message, _FIELDS)
+    get = lambda k: F.try_element_at(fields, F.lit(k))
+    calls = F.to_json(get("tool_calls"))
+    return F.struct(
+        F.try_variant_get(get("role"), "$", "string").alias("role"), F.try_variant_get(get("content"), "$", "string").alias("content"),
+        F.when(calls != "[]", calls).alias("tool_calls"), F.try_variant_get(get("turn_idx"), "$", "int").alias("turn_idx"),
+        F.to_json(F.map_filter(fields, lambda k, _: k.isin(*MODELLED))).alias("modelled"),
+        F.to_json(F.map_filter(fields, lambda k, _: ~k.isin(*MODELLED))).alias("extra"),
+    )
+
+
+def rebuilt_message(parts: Column) -> Column:
+    """The message of ``split_message`` as canonical JSON text."""
+    return F.to_json(F.parse_json(F.to_json(F.map_concat(F.from_json(parts["modelled"], _FIELDS), F.from_json(parts["extra"], _FIELDS)))))
+
+
+def same_json(a: Column, b: Column) -> Column:
+    """Whether two JSON texts hold the same value, whatever their spacing and order of keys."""
+    return F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))

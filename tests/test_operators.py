@@ -260,3 +260,14 @@ def test_artifacts_and_lookups(spark, tmp_path):
     assert readers.votes(spark, str(tmp_path / "v.json")).first().side == 2
     (tmp_path / "m.results.json").write_text(json.dumps([{"id": "1", "correct_response": 1, "runs": [{"run": 0, "score_1": 0.5, "correct": False}]}]))
     assert readers.flat_runs(readers.results(spark, str(tmp_path))).first().label == "m"
+
+
+def test_messages_round_trip(spark):
+    messages = ['{"role": "assistant", "content": "a\\n\\"b\\"", "tool_calls": [{"id": "1", "arguments": {"n": 5, "s": "5"}}], "turn_idx": 3, "cost": 0.5, "deep": {"x": [1, null, true]}}', '{"role":"user","content":null,"tool_calls":[]}', '{"b":1,"a":"1"}']
+    rows = spark.createDataFrame([(m,) for m in messages], "m string").withColumn("p", trajectory.split_message(F.col("m")))
+    assert [r[0] for r in rows.select(trajectory.same_json(F.col("m"), trajectory.rebuilt_message(F.col("p")))).collect()] == [True] * 3
+    first, second, _ = (r.p for r in rows.collect())
+    assert (first.role, first.turn_idx, second.tool_calls, second.content) == ("assistant", 3, None, None)
+    assert json.loads(first.extra) == {"cost": 0.5, "deep": {"x": [1, None, True]}}
+    dropped = rows.withColumn("p", F.col("p").withField("extra", F.lit("{}")))
+    assert not dropped.select(trajectory.same_json(F.col("m"), trajectory.rebuilt_message(F.col("p")))).first()[0]
