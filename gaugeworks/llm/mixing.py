@@ -28,12 +28,15 @@ CELLS = 4096
 @dataclass(frozen=True)
 class Mix:
     """units: one row per distinct (doc_id, source, size) with its copies and stream start;
-    sources: targets; slots: the schedule (slot, source_no, block)."""
+    sources: targets; slots: the schedule (slot, source_no, block); few_sources: whether the sources
+    were counted and are few enough to be broadcast. Else they are joined by shuffling, and Spark
+    splits a hot source's partition."""
 
     units: DataFrame
     sources: DataFrame
     slots: DataFrame
     block: int
+    few_sources: bool
 
 
 def source_targets(sized: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -82,7 +85,7 @@ def schedule(sources: DataFrame, block: int, total: int) -> DataFrame:
     return met.select("slot", "source_no", (F.col("before") + F.col("rank")).alias("block"))
 
 
-def _positions(sized: DataFrame, sources: DataFrame, seed: int, bucket_rows: int) -> DataFrame:
+def _positions(sized: DataFrame, sources: DataFrame, few_sources: bool, seed: int, bucket_rows: int) -> DataFrame:
     """Each unit's first word within its source's shuffled stream."""
     n = sized.count()
     buckets = max(1, -(-n // bucket_rows))
@@ -91,7 +94,7 @@ def _positions(sized: DataFrame, sources: DataFrame, seed: int, bucket_rows: int
     bucket = F.floor(F.shiftrightunsigned("place", 33) * F.lit(buckets) / F.lit(2**31))
     units = sized.withColumn("place", place).withColumn("bucket", bucket)
     names = sources.select(F.col("source").alias("name"), "source_no")
-    units = units.join(F.broadcast(names) if sources.count() <= 100_000 else names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    units = units.join(F.broadcast(names) if few_sources else names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     weight = F.col("size") * F.col("copies")
     held = units.groupBy("source_no", "bucket").agg(F.sum(weight).alias("held"))
     before = F.sum("held").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -102,7 +105,7 @@ def _positions(sized: DataFrame, sources: DataFrame, seed: int, bucket_rows: int
     return units.select("doc_id", "source", "source_no", "size", "copies", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int = 1 << 20, seed: int = 7, bucket_rows: int = 8192) -> Mix:
+def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int = 1 << 20, seed: int = 7, bucket_rows: int = 8192, broadcast_sources: int = 100_000) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source, ...).
 
     Defined results: null or wordless texts have size 0 and take nothing; a null source is a
@@ -112,10 +115,10 @@ def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int = 1 << 20, seed:
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     sized = written(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
     sources = written(source_targets(sized, max_repeats), "mix-sources")
-    first = sources.agg(F.max("total")).first()[0]
-    total = int(first or 0)
+    found = sources.agg(F.max("total").alias("total"), F.count("*").alias("n")).first()
+    total, few = int(found.total or 0), found.n <= broadcast_sources
     block = max(1, -(-total // blocks))
-    return Mix(_positions(sized, sources, seed, bucket_rows), sources, schedule(sources, block, total), block)
+    return Mix(_positions(sized, sources, few, seed, bucket_rows), sources, schedule(sources, block, total), block, few)
 
 
 def spans(plan: Mix, max_repeats: int = 3) -> DataFrame:
@@ -126,7 +129,7 @@ def spans(plan: Mix, max_repeats: int = 3) -> DataFrame:
     b = F.lit(plan.block)
     reach = plan.slots.groupBy("source_no").agg((F.max("block") + 1).alias("taken_blocks"))
     src = plan.sources.select("source_no", "source_size", "target").join(reach, "source_no", "left")
-    units = plan.units.join(src, "source_no")
+    units = plan.units.join(F.broadcast(src) if plan.few_sources else src, "source_no")
     rounds = F.least(F.lit(max_repeats), F.ceil(F.coalesce("taken_blocks", F.lit(0)) * b / F.greatest("source_size", F.lit(1))))
     units = units.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
     units = units.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))

@@ -99,6 +99,7 @@ def test_mix_meets_its_targets(docs):
     assert all(abs(taken[s] - want[s]) <= 20 + 0.001 * total for s in want)
     key = lambda rs: sorted((repr((r.doc_id, r.copy, r.source, r.taken)) for r in rs))
     assert key(rows) == key(mixing.taken_words(docs.repartition(7)).collect())
+    assert key(rows) == key(mixing.taken_words(docs, broadcast_sources=0).collect())
 
 
 def test_schedule_is_even_in_every_prefix(docs):
