@@ -257,7 +257,7 @@ def learn_weights(stats: DataFrame, order: int, rounds: int, prior: float = 1.0)
     return weights
 
 
-def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one_in: int = 20, chunk_tokens: int = 2_000_000, reducer_keys: int = 1_500_000, rounds: int = 12) -> DataFrame:
+def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one_in: int = 20, chunk_tokens: int = 1_200_000, reducer_keys: int = 1_500_000, rounds: int = 12) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.
 
