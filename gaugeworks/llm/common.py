@@ -56,7 +56,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._gw_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df._gw_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that operators of this session have written; their results can't be read after."""
+    remove(spark, shared_root(spark))
 
 
 def n_words(text: Column) -> Column:
