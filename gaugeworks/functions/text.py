@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.extract import stripped
 
 #: How roles are named in a transcript. Fixed values.
-SPEAKERS = {"assistant": "Agent", "user": "Customer", "system": "System", "agent": "Agent"}
+SPEAKERS = {"assistant": "Agent", "user": "Customer", "system": "System"}
 
 
 def clip(text: Column, limit: int) -> Column:
-    """Cut at ``limit`` characters, with a note of how many are missing."""
+    """Cut at ``limit`` characters, with a note of how many are missing; 0 cuts nothing."""
+    if limit <= 0:
+        return text
     cut = F.concat(F.substring(text, 1, limit), F.lit("\n[... truncated, "), F.length(text) - limit, F.lit(" more characters]"))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-PAIR = "id string, criterion_name string, criterion_description string, positive_hint string, negative_hint string, prompt string, response_1 string, response_2 string, correct_response int, group_id string, levels array<string>, agent_1 string, agent_2 string, context struct<domain:string,task_id:string,policy:string,task_purpose:string,user_persona:string,user_instructions:string>"
-BLIND = ("id", "criterion_name", "criterion_description", "prompt", "response_1", "response_2", "context")
-ANSWER = ("id", "correct_response", "positive_hint", "negative_hint", "group_id", "levels")
+PAIR = "schema_version string, id string, criterion_name string, criterion_description string, positive_hint string, negative_hint string, prompt string, response_1 string, response_2 string, correct_response int, group_id string, levels array<string>, agent_1 string, agent_2 string, context struct<domain:string,task_id:string,policy:string,task_purpose:string,user_persona:string,user_instructions:string>"
+BLIND = ("id", "criterion_name", "criterion_description", "prompt", "response_1", "response_2", "schema_version", "context")
+#: What a blind record keeps of the context. Fixed values.
+BLIND_CONTEXT = ("domain", "task_id", "task_purpose", "user_persona")
+ANSWER = ("id", "correct_response", "levels", "positive_hint", "negative_hint", "group_id")
 ANSWERS = "id string, correct_response int, levels array<string>"
 CALL = "model string, role string, label string, item_id string, attempt int, prompt_tokens bigint, completion_tokens bigint, reasoning_tokens bigint, reasoning_source string, content_chars bigint, reasoning_chars bigint, latency_s double, ok boolean, error string"
 SCORE_CALL = f"label string, id string, key string, run int, score double, usage struct<{', '.join(f'{n}:{t}' for n, t in (c.split(' ') for c in CALL.split(', ')))}>"

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from gaugeworks import schemas
 from gaugeworks.operators.keyed import attach_answers, guarded_lookup, latest
 
-#: Bookkeeping files beside trajectories. Fixed values.
-BOOKKEEPING = ("index.json", "instructions.json", "votes.json", "rejects.json", "run.json", "usage.json", "summary.json")
+#: Endings of files that stand beside trajectories and are none. Fixed values.
+BOOKKEEPING = (
+    ".pairs.json", "judge_votes.json", "dataset.json", "summary.json", "rejects.json", "pair_index.json", "pipeline_run.json",
+    "usage_checkpoints.json", "generated_instructions.json",
+)
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -101,7 +104,9 @@ def trajectories(spark: SparkSession, root: str) -> DataFrame:
     for at in (f"{root}/trajectories", root):
         found = _glob(spark, f"{at}/*.json", schemas.TRAJECTORY, 0)
         if found is not None:
-            found = found.where(~F.col("file").isin(*BOOKKEEPING)).drop("__rank")
+            for ending in BOOKKEEPING:
+                found = found.where(~F.col("file").endswith(ending))
+            found = found.drop("__rank")
             if at == root or not found.isEmpty():
                 return found
     return spark.createDataFrame([], f"{schemas.TRAJECTORY}, file string")

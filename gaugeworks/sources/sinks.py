@@ -53,7 +53,7 @@ def put(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None
 
 def blind(pairs: DataFrame) -> DataFrame:
     """What an evaluator may see: no label, no hints, no levels, and four fields of the context."""
-    context = F.struct(*(F.col(f"context.{c}").alias(c) for c in ("domain", "task_id", "user_persona", "user_instructions")))
+    context = F.struct(*(F.col(f"context.{c}").alias(c) for c in schemas.BLIND_CONTEXT))
     return pairs.withColumn("context", context).select(*(c for c in schemas.BLIND if c in pairs.columns))
 
 
