@@ -145,8 +145,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int | None
 
     Vectors link if their cosine, in double precision, is at least ``threshold``; n_links counts
     the other rows that a row links to, component_id is the smallest vec_id that links reach.
-    ``pivots`` defaults to an eighth of the square root of the number of different vectors: cells
-    and the work of placing a vector then both grow with the root.
+    ``pivots`` defaults to an eighth of the square root of the number of different vectors, 32 at
+    least: cells and the work of placing a vector then both grow with the root.
 
     Defined results: null, empty and zero vectors and those with null or non-finite components
     link with nothing (n_links 0, own component); vectors of different lengths never link; rows
@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int | None
     found = None
     for dim in sorted(r.dim for r in classes.select("dim").distinct().collect()):
         same = classes.where(F.col("dim") == dim).select("class", "copies", "vector")
-        wanted = pivots or max(4, round(same.count() ** 0.5 / 8))
+        wanted = pivots or max(32, round(same.count() ** 0.5 / 8))
         centres = choose_pivots(same, wanted, max(1024, 4 * wanted))
         links = join_cells(place(same, centres, float(np.arccos(threshold))), threshold, block)
         found = links if found is None else found.unionByName(links)
