@@ -5,6 +5,9 @@ same norm. Each shard is a graph of its own, kept as flat arrays (vectors, and p
 of neighbour numbers) in one row of the written index. Queries travel in bounded waves to every
 shard; the shards' results are merged by their exact scores on the original vectors.
 
+Equal vectors are one node, which carries the smallest k + 1 of their ids: one may be the query's
+own, and no other can be among its k nearest.
+
 A node links to the nodes inserted before it, as in incremental construction, but its candidates
 come from exact blocked products rather than from a search: early nodes, which have only far
 candidates, provide the long links.
@@ -20,16 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import forget, written
 from gaugeworks.llm.metric_join import usable
 
 
 @dataclass(frozen=True)
 class Graph:
-    """ids and original vectors by node number; layers from the bottom: node numbers and, by row,
-    their neighbours (-1 fills)."""
+    """Original vectors by node number, and node i's ids at starts[i] to starts[i + 1] of ``ids``;
+    layers from the bottom: node numbers and, by row, their neighbours (-1 fills)."""
 
     ids: np.ndarray
+    starts: np.ndarray
     vectors: np.ndarray
     lifted: np.ndarray
     members: list[np.ndarray]
@@ -38,14 +42,14 @@ class Graph:
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         layers = {f"m{i}": m for i, m in enumerate(self.members)} | {f"l{i}": x for i, x in enumerate(self.links)}
-        np.savez(out, ids=self.ids, vectors=self.vectors, lifted=self.lifted, **layers)
+        np.savez(out, ids=self.ids, starts=self.starts, vectors=self.vectors, lifted=self.lifted, **layers)
         return out.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         got = np.load(io.BytesIO(data))
         n = sum(name[0] == "m" for name in got.files)
-        return Graph(got["ids"], got["vectors"], got["lifted"], [got[f"m{i}"] for i in range(n)], [got[f"l{i}"] for i in range(n)])
+        return Graph(got["ids"], got["starts"], got["vectors"], got["lifted"], [got[f"m{i}"] for i in range(n)], [got[f"l{i}"] for i in range(n)])
 
 
 def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -114,11 +118,12 @@ def link_layer(x: np.ndarray, degree: int, breadth: int, block: int = 128) -> np
     return links
 
 
-def build_graph(ids: np.ndarray, vectors: np.ndarray, norm: float, degree: int, breadth: int, seed: int = 3) -> Graph:
-    """The graph of one shard. Levels are geometric with ratio 1 / degree, drawn from a fixed seed."""
+def build_graph(ids: list[np.ndarray], vectors: np.ndarray, norm: float, degree: int, breadth: int, seed: int = 3) -> Graph:
+    """The graph of one shard from distinct vectors and the ids of each. Levels are geometric with ratio 1 / degree, drawn from a fixed seed."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(ids))
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors = [ids[i] for i in order], vectors[order]
+    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
     x = lift(vectors, norm)
     level = np.floor(-np.log(1 - rng.random(len(ids))) / np.log(degree)).astype(int)
     members, links = [], []
@@ -127,12 +132,12 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, norm: float, degree: int,
         local = link_layer(x[own], degree, breadth)
         members.append(own.astype(np.int32))
         links.append(np.where(local >= 0, own[local], -1).astype(np.int32))
-    return Graph(ids, vectors, x, members, links)
+    return Graph(np.concatenate(ids), starts, vectors, x, members, links)
 
 
 def search(graph: Graph, queries: np.ndarray, beam: int, step: int = 4) -> np.ndarray:
     """Node numbers of the at most ``beam`` nearest found per query row, -1 fills."""
-    x, n = graph.lifted, len(graph.ids)
+    x, n = graph.lifted, len(graph.lifted)
     q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
     rows = np.arange(len(q))
     at = np.full(len(q), graph.members[-1][0])
@@ -176,21 +181,44 @@ def search(graph: Graph, queries: np.ndarray, beam: int, step: int = 4) -> np.nd
     return np.where(np.isfinite(score), held, -1)
 
 
+def classes(rows: DataFrame, keep: int) -> DataFrame:
+    """One row per distinct vector: vector, dim, norm and the ``keep`` smallest of its ids.
+
+    Ids are numbered within partitions before the exchange, so that a vector held by many rows
+    sends ``keep`` ids from each partition only.
+    """
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    few = rows.withColumn("place", place).where(F.col("place") <= keep)
+    return few.groupBy("vector", "dim").agg(F.max("norm").alias("norm"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def expand(graph: Graph, nodes: np.ndarray, score: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids of the nodes found for a query, its own left out, and their scores."""
+    counts = graph.starts[nodes + 1] - graph.starts[nodes]
+    at = np.arange(counts.sum()) + np.repeat(graph.starts[nodes] - np.cumsum(counts) + counts, counts)
+    got, score = graph.ids[at], np.repeat(score, counts)
+    got, score = got[got != own], score[got != own]
+    order = np.lexsort((got, -score))
+    _, first = np.unique(got[order], return_index=True)
+    best = order[np.sort(first)][:k]
+    return got[best], score[best]
+
+
 def build_index(vectors: DataFrame, shard_rows: int, degree: int, breadth: int) -> tuple[DataFrame, DataFrame]:
     """One written row per shard (dim, shard, graph), and the number of shards of each length of
-    vectors (d, shards, top norm). ``vectors``: id, dim, vector, norm."""
+    vectors (d, shards, top norm). ``vectors``: distinct ones, with ids, dim, vector, norm."""
     sizes = {r.dim: (r.n, r.norm) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()}
     spark = vectors.sparkSession
     plan = spark.createDataFrame([(d, -(-n // shard_rows), norm) for d, (n, norm) in sizes.items()], "d int, shards long, top double")
-    dealt = vectors.join(F.broadcast(plan), F.col("dim") == F.col("d")).withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.col("shards")))
+    dealt = vectors.join(F.broadcast(plan), F.col("dim") == F.col("d")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
+        group = group.assign(first=[i[0] for i in group["ids"]], whole=[tuple(v) for v in group["vector"]]).sort_values(["first", "whole"])
         x = np.stack([np.asarray(v, np.float64) for v in group["vector"]])
-        graph = build_graph(group["id"].to_numpy(), x, float(group["top"].iloc[0]), degree, breadth)
+        graph = build_graph([np.asarray(i, np.int64) for i in group["ids"]], x, float(group["top"].iloc[0]), degree, breadth)
         return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [graph.to_bytes()]})
 
-    index = dealt.select("id", "dim", "vector", "shard", "top").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
+    index = dealt.select("ids", "dim", "vector", "shard", "top").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
     return written(index, "ann-index"), plan
 
 
@@ -198,7 +226,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     """query_id, rank (from 1), vec_id and score: each query's ``k`` nearest found by inner product.
 
     ``vectors`` and ``queries``: vec_id, embedding. A query's own id is no candidate. Scores are
-    inner products in double precision; ties go to the smaller vec_id. Every vector is indexed.
+    inner products in double precision; ties go to the smaller vec_id. Every vector is indexed;
+    equal ones, however many, are found together.
 
     Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
     rows without a vec_id, take no part; a vec_id repeated with one vector is one candidate (and
@@ -214,7 +243,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
         rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("dim"), doubles.alias("vector"), norm.alias("norm"))
         return rows.distinct()
 
-    index, plan = build_index(valid(vectors), shard_rows, degree, breadth)
+    distinct = written(classes(valid(vectors), k + 1), "ann-vectors")
+    index, plan = build_index(distinct, shard_rows, degree, breadth)
+    forget(distinct)
     asked = written(valid(queries), "ann-queries")
     waves = max(1, -(-asked.count() // wave_rows))
     wave = F.pmod(F.xxhash64(F.lit("wave"), "id"), F.lit(waves)).cast("int")
@@ -233,15 +264,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
         for lo in range(0, len(ids), 256):
             part = q[lo : lo + 256]
             found = search(graph, part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300), max(beam, k + 1))
-            score = np.where(found >= 0, np.einsum("ij,ikj->ik", part, graph.vectors[found]), -np.inf)
-            got = np.where(found >= 0, graph.ids[found], -1)
-            score[got == ids[lo : lo + 256, None]] = -np.inf
-            order = np.lexsort((got, -score), axis=1)
+            score = np.einsum("ij,ikj->ik", part, graph.vectors[found])
             for row in range(len(part)):
-                best = order[row][np.isfinite(score[row][order[row]])]
-                _, first = np.unique(got[row][best], return_index=True)
-                best = best[np.sort(first)][:k]
-                out.append(pd.DataFrame({"query_id": ids[lo + row], "vec_id": got[row][best], "score": score[row][best]}))
+                real = found[row] >= 0
+                got, best = expand(graph, found[row][real], score[row][real], ids[lo + row], k)
+                out.append(pd.DataFrame({"query_id": ids[lo + row], "vec_id": got, "score": best}))
         return pd.concat(out)[columns]
 
     near = served.groupBy("dim", "shard", "wave").cogroup(sent.groupBy("of", "to", "wave")).applyInPandas(run, "query_id long, vec_id long, score double")

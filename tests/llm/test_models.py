@@ -180,6 +180,37 @@ def test_search_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [400, 8192])
+def test_search_among_many_equal_vectors(spark, shard_rows):
+    """A third of the rows are copies of one vector; small groups of copies are the nearest of others."""
+    rng = np.random.default_rng(8)
+    alone = rng.normal(size=(900, 8))
+    alone /= np.linalg.norm(alone, axis=1, keepdims=True)
+    hot = np.array([-0.0, 0.0, 3.0, 0, 0, 0, 0, 0])
+    x = np.concatenate([np.repeat(hot[None], 900, 0), alone, np.repeat(alone[:30], 30, 0)])
+    x[::2][x[::2] == 0] = 0.0
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), e.tolist()) for i, e in zip(ids, x, strict=True)] + [(7, hot.tolist()), (7, hot.tolist())], "vec_id long, embedding array<double>")
+    vectors = [(int(i), e) for i, e in zip(ids, x, strict=True)] + [(7, hot)]
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 30 = 0"), shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    asked = {i: e for i, e in vectors if i % 30 == 0}
+    assert set(got) == set(asked)
+    hits = 0
+    for q, e in asked.items():
+        score = {}
+        for i, other in vectors:
+            if i != q:
+                score[i] = max(score.get(i, -np.inf), round(float(e @ other), 9))
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        if np.array_equal(e, hot):
+            assert [i for i, _ in got[q]] == want
+        hits += len({i for i, _ in got[q]} & set(want))
+        assert all(s == pytest.approx(score[i], abs=1e-8) for i, s in got[q])
+    assert hits / (20 * len(asked)) >= 0.95
+
+
 def test_keys_meet_within_the_radius():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**16, (300, 64), np.uint16)
