@@ -1,9 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-The corpus' words are cut into equal-token blocks. Slot i of the schedule takes the point
-frac((i + 1/2) * golden ratio) of the cumulative target shares, which names its source; the rank of
-the slot among its source's slots names the block of that source's shuffled, repeated stream. Every
-prefix of the schedule is therefore close to the target mix, not only its end.
+Slot i of the schedule takes the point frac((i + 1/2) * golden ratio) of the cumulative target
+shares, which names its source; the rank of the slot among its source's slots names the block of
+that source's shuffled, repeated stream. Every prefix of the schedule is therefore close to the
+target mix, not only its end.
+
+A source's target, in whole words and one at least, is cut into as many equal blocks as it has
+slots, so that its slots together hold just the target, however coarse the schedule. A source that
+no point meets has one slot of its own after the others.
 
 Nothing is ordered in one task: positions are prefix sums in two levels (within a bucket of hash
 order, then over bucket totals), so a source with a third of all rows is many buckets.
@@ -28,7 +32,8 @@ CELLS = 4096
 @dataclass(frozen=True)
 class Mix:
     """units: one row per distinct (doc_id, source, size) with its copies and stream start;
-    sources: targets; slots: the schedule (slot, source_no, block); few_sources: whether the sources
+    sources: targets; slots: the schedule (slot, source_no, block); block: the words of a slot on
+    average; few_sources: whether the sources
     were counted and are few enough to be broadcast. Else they are joined by shuffling, and Spark
     splits a hot source's partition."""
 
@@ -70,9 +75,10 @@ def source_targets(sized: DataFrame, max_repeats: int = 3) -> DataFrame:
 def schedule(sources: DataFrame, block: int, total: int) -> DataFrame:
     """The slots: (slot, source_no, block), block = rank of the slot within its source."""
     spark = sources.sparkSession
+    n_slots = -(-total // block)
     point = F.col("slot") + 0.5
     point = point * GOLDEN - F.floor(point * GOLDEN)
-    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot"), point.alias("point"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS))
     cells = sources.where(F.col("target") > 0).select("source_no", "from", "until", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.floor(F.col("until") * CELLS))).alias("cell"))
     met = slots.join(cells, "cell").where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("until")))
@@ -82,7 +88,10 @@ def schedule(sources: DataFrame, block: int, total: int) -> DataFrame:
     runs = runs.select("source_no", "run", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source_no", "run").orderBy("slot")) - 1
     met = met.withColumn("rank", rank).join(runs, ["source_no", "run"])
-    return met.select("slot", "source_no", (F.col("before") + F.col("rank")).alias("block"))
+    met = met.select("slot", "source_no", (F.col("before") + F.col("rank")).alias("block"))
+    unmet = sources.where(F.col("target") > 0).select("source_no").join(runs, "source_no", "left_anti")
+    own = F.row_number().over(Window.orderBy("source_no")) + F.lit(n_slots - 1)
+    return met.unionByName(unmet.select(own.cast("long").alias("slot"), "source_no", F.lit(0).cast("long").alias("block")))
 
 
 def _positions(sized: DataFrame, sources: DataFrame, few_sources: bool, seed: int, bucket_rows: int) -> DataFrame:
@@ -126,22 +135,25 @@ def spans(plan: Mix, max_repeats: int = 3) -> DataFrame:
 
     Documents that no slot reaches have one row with a null slot and an empty span.
     """
-    b = F.lit(plan.block)
+    # Block i of n holds the words from i * words div n on; word p lies in block ((p + 1) * n - 1) div words.
+    block_of = lambda p: f"(({p} + 1) * taken_blocks - 1) div words"
     reach = plan.slots.groupBy("source_no").agg((F.max("block") + 1).alias("taken_blocks"))
-    src = plan.sources.select("source_no", "source_size", "target").join(reach, "source_no", "left")
+    words = F.greatest(F.round("target").cast("long"), F.lit(1).cast("long"))
+    src = plan.sources.select("source_no", "source_size", "target", words.alias("words")).join(reach, "source_no", "left")
     units = plan.units.join(F.broadcast(src) if plan.few_sources else src, "source_no")
-    rounds = F.least(F.lit(max_repeats), F.ceil(F.coalesce("taken_blocks", F.lit(0)) * b / F.greatest("source_size", F.lit(1))))
+    rounds = F.least(F.lit(max_repeats), F.ceil(F.col("words") / F.greatest("source_size", F.lit(1))))
+    rounds = F.when(F.col("taken_blocks") > 0, rounds).otherwise(0)
     units = units.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
     units = units.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     units = units.withColumn("rounds", F.when(F.col("size") > 0, rounds).otherwise(0))
     units = units.withColumn("epoch", F.explode_outer(F.expr("if(rounds > 0, sequence(0L, cast(rounds as long) - 1), cast(null as array<bigint>))")))
     units = units.withColumn("start", F.col("start") + F.col("epoch") * F.col("source_size"))
-    last = F.least(F.floor((F.col("start") + F.col("size") - 1) / b), F.col("taken_blocks") - 1)
-    units = units.withColumn("first_block", F.floor(F.col("start") / b)).withColumn("last_block", last)
+    last = F.least(F.expr(block_of("(start + size - 1)")), F.col("taken_blocks") - 1)
+    units = units.withColumn("first_block", F.expr(block_of("start"))).withColumn("last_block", last)
     units = units.withColumn("block", F.explode_outer(F.expr("if(first_block <= last_block, sequence(first_block, last_block), cast(null as array<bigint>))")))
     met = units.join(plan.slots, ["source_no", "block"], "left")
-    first = F.greatest(F.col("block") * b - F.col("start"), F.lit(0))
-    until = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size"))
+    first = F.greatest(F.expr("block * words div taken_blocks - start"), F.lit(0))
+    until = F.least(F.expr("(block + 1) * words div taken_blocks - start"), F.col("size"))
     none = F.col("slot").isNull()
     return met.select(
         "doc_id", "copy", "source", "size", "source_size", "target", "slot", "epoch",

@@ -102,6 +102,25 @@ def test_mix_meets_its_targets(docs):
     assert key(rows) == key(mixing.taken_words(docs, broadcast_sources=0).collect())
 
 
+@pytest.mark.parametrize("blocks", [50, 1000, 1 << 20])
+@pytest.mark.parametrize("broadcast_sources", [0, 100_000])
+def test_small_sources_meet_their_own_targets(spark, blocks, broadcast_sources):
+    """However coarse the schedule: sources of 1 to 60 words beside one of 40,000."""
+    rows = [(i, "word " * 100, "en", "big", 0) for i in range(400)]
+    rows += [(1000 + i, "w " * (1 + i % 20), "en", f"s{i % 37:02}", 0) for i in range(111)] + [(2000, "", "en", "void", 0)]
+    small = spark.createDataFrame(rows, DOCS)
+    sizes, taken = Counter(), Counter()
+    for r in mixing.taken_words(small, blocks=blocks, broadcast_sources=broadcast_sources).collect():
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    want = targets({s: n for s, n in sizes.items()})
+    assert sum(n == 0 for n in sizes.values()) == 1
+    assert {s: (taken[s], want[s]) for s in want if abs(taken[s] - want[s]) > 1} == {}
+    slots = [r.slot for r in mixing.plan_mix(small, blocks=blocks).slots.collect()]
+    assert sorted(slots) == list(range(len(slots)))
+
+
 def test_schedule_is_even_in_every_prefix(docs):
     plan = mixing.plan_mix(docs, blocks=2000)
     share = {r.source_no: r.target / r.total for r in plan.sources.collect()}
