@@ -158,7 +158,7 @@ def similar_sets(shingle_words: int, percent: int):
 
 
 def radius_for(percent: int, symbols: int, deviations: float = 4.3) -> int:
-    """Differing symbols that a pair of that similarity exceeds with a chance of about 1 in 10^5.
+    """Differing symbols that a pair of that similarity exceeds with a chance of a few in 10^5.
 
     A symbol differs with probability 1 - similarity (a little less, as 16 bits may agree by
     chance); the count is binomial.
