@@ -159,6 +159,29 @@ def test_vector_join_is_exact(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df.where("vec_id = 901")).collect()] == [(0, 901, True)]
 
 
+def test_vector_join_in_double_precision(spark):
+    """Pairs a billionth to either side of the threshold, huge components, and dense groups."""
+    def pair(cosine, at, dim=6):
+        a, b = np.zeros(dim), np.zeros(dim)
+        a[at], b[at], b[at + 1] = 1.0, cosine, math.sqrt(1 - cosine * cosine)
+        return a, b
+
+    above, below = pair(0.9 + 1e-9, 0), pair(0.9 - 1e-9, 2)
+    big = np.array([0, 0, 0, 0, 1e200, 1e200])
+    x = [*above, *below, big, big * [1, 1, 1, 1, 1, 0.99], big * 1e-300]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_vectors(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4)}
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(1, 24)) + rng.normal(size=(1500, 24)) * 0.02
+    far = rng.normal(size=(500, 24))
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(np.concatenate([near, far]))], "vec_id long, embedding array<double>")
+    got = metric_join.near_vectors(df, block=400).collect()
+    assert Counter((r.n_links, r.component_id) for r in got if r.vec_id < 1500) == {(1499, 0): 1500}
+    assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got if r.vec_id >= 1500)
+
+
 def test_search_recall_and_scores(spark):
     df = vectors(spark, 880)
     rows = {r.vec_id: r.embedding for r in df.select("vec_id", "embedding").collect() if r.vec_id is not None}
