@@ -8,9 +8,8 @@ shard; the shards' results are merged by their exact scores on the original vect
 Equal vectors are one node, which carries the smallest k + 1 of their ids: one may be the query's
 own, and no other can be among its k nearest.
 
-A node links to the nodes inserted before it, as in incremental construction, but its candidates
-come from exact blocked products rather than from a search: early nodes, which have only far
-candidates, provide the long links.
+Graphs are built by insertion, in batches: a batch searches the graph of the nodes before it, all of
+its nodes at once, and its nodes also see each other.
 """
 
 from __future__ import annotations
@@ -30,26 +29,23 @@ from gaugeworks.llm.metric_join import usable
 @dataclass(frozen=True)
 class Graph:
     """Original vectors by node number, and node i's ids at starts[i] to starts[i + 1] of ``ids``;
-    layers from the bottom: node numbers and, by row, their neighbours (-1 fills)."""
+    layers from the top, each over the first nodes: by row, their neighbours (-1 fills)."""
 
     ids: np.ndarray
     starts: np.ndarray
     vectors: np.ndarray
     lifted: np.ndarray
-    members: list[np.ndarray]
     links: list[np.ndarray]
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        layers = {f"m{i}": m for i, m in enumerate(self.members)} | {f"l{i}": x for i, x in enumerate(self.links)}
-        np.savez(out, ids=self.ids, starts=self.starts, vectors=self.vectors, lifted=self.lifted, **layers)
+        np.savez(out, ids=self.ids, starts=self.starts, vectors=self.vectors, lifted=self.lifted, **{f"l{i}": x for i, x in enumerate(self.links)})
         return out.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         got = np.load(io.BytesIO(data))
-        n = sum(name[0] == "m" for name in got.files)
-        return Graph(got["ids"], got["starts"], got["vectors"], got["lifted"], [got[f"m{i}"] for i in range(n)], [got[f"l{i}"] for i in range(n)])
+        return Graph(got["ids"], got["starts"], got["vectors"], got["lifted"], [got[f"l{i}"] for i in range(len(got.files) - 4)])
 
 
 def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -59,7 +55,7 @@ def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
 
 
-def diverse(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, nearness: np.ndarray, keep: int) -> np.ndarray:
+def diverse(x: np.ndarray, candidates: np.ndarray, nearness: np.ndarray, keep: int) -> np.ndarray:
     """Of each row's candidates (nearest first, -1 fills), at most ``keep``: first those nearer to
     the node than to any kept before them, then the nearest of the others."""
     n, width = candidates.shape
@@ -80,105 +76,142 @@ def diverse(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, nearness: np
     return np.pad(out, ((0, 0), (0, max(0, keep - out.shape[1]))), constant_values=-1).astype(np.int32)
 
 
-def link_layer(x: np.ndarray, degree: int, breadth: int, block: int = 128) -> np.ndarray:
-    """Neighbours within one layer; row i of ``x`` is the i-th node inserted. Rows have up to
-    2 * degree neighbours: ``degree`` chosen at insertion and those that chose the node later."""
-    n = len(x)
-    forward = np.full((n, degree), -1, np.int32)
-    for lo in range(0, n, block):
-        hi = min(n, lo + block)
-        near = x[lo:hi] @ x[:hi].T
-        near[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = -np.inf
-        width = min(breadth, hi)
-        top = np.argpartition(-near, width - 1, 1)[:, :width]
-        score = np.take_along_axis(near, top, 1)
-        order = np.argsort(-score, 1)
-        top, score = np.take_along_axis(top, order, 1), np.take_along_axis(score, order, 1)
-        forward[lo:hi] = diverse(x, np.arange(lo, hi), np.where(np.isfinite(score), top, -1), score, degree)
-    src, dst = np.repeat(np.arange(n), degree), forward.ravel()
-    real = dst >= 0
-    a, b = np.concatenate([src[real], dst[real]]), np.concatenate([dst[real], src[real]])
-    score = np.einsum("ij,ij->i", x[a], x[b])
-    order = np.lexsort((-score, a))
-    a, b, score = a[order], b[order], score[order]
-    first = np.searchsorted(a, np.arange(n))
-    place = np.arange(len(a)) - first[a]
-    wide = 6 * degree
-    few = place < wide
-    candidates, nearness = np.full((n, wide), -1, np.int32), np.full((n, wide), -np.inf, np.float32)
-    candidates[a[few], place[few]], nearness[a[few], place[few]] = b[few], score[few]
-    counts = np.diff(np.append(first, len(a)))
-    links = np.full((n, 2 * degree), -1, np.int32)
-    fit = counts <= 2 * degree
-    links[fit] = candidates[fit, : 2 * degree]
-    full = np.flatnonzero(~fit)
-    for lo in range(0, len(full), block):
-        rows = full[lo : lo + block]
-        links[rows] = diverse(x, rows, candidates[rows], nearness[rows], 2 * degree)
-    return links
-
-
-def build_graph(ids: list[np.ndarray], vectors: np.ndarray, norm: float, degree: int, breadth: int, seed: int = 3) -> Graph:
-    """The graph of one shard from distinct vectors and the ids of each. Levels are geometric with ratio 1 / degree, drawn from a fixed seed."""
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(ids))
-    ids, vectors = [ids[i] for i in order], vectors[order]
-    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-    x = lift(vectors, norm)
-    level = np.floor(-np.log(1 - rng.random(len(ids))) / np.log(degree)).astype(int)
-    members, links = [], []
-    for layer in range(level.max(initial=0) + 1):
-        own = np.flatnonzero(level >= layer)
-        local = link_layer(x[own], degree, breadth)
-        members.append(own.astype(np.int32))
-        links.append(np.where(local >= 0, own[local], -1).astype(np.int32))
-    return Graph(np.concatenate(ids), starts, vectors, x, members, links)
-
-
-def search(graph: Graph, queries: np.ndarray, beam: int, step: int = 4) -> np.ndarray:
-    """Node numbers of the at most ``beam`` nearest found per query row, -1 fills."""
-    x, n = graph.lifted, len(graph.lifted)
-    q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
-    rows = np.arange(len(q))
-    at = np.full(len(q), graph.members[-1][0])
-    best = np.einsum("ij,ij->i", q, x[at])
-    for own, links in zip(graph.members[:0:-1], graph.links[:0:-1], strict=True):
-        while True:
-            near = links[np.searchsorted(own, at)]
-            score = np.where(near >= 0, np.einsum("ij,ikj->ik", q, x[near]), -np.inf)
-            k = score.argmax(1)
-            better = score[rows, k] > best
-            if not better.any():
-                break
-            at, best = np.where(better, near[rows, k], at), np.where(better, score[rows, k], best)
+def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray, beam: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``q`` the at most ``beam`` best nodes met in a layer's graph, best first, and
+    their scores; searches start at the nodes ``at`` and open ``step`` nodes a round. -1 fills."""
+    n, rows = len(x), np.arange(len(q))
     beam = min(beam, n)
-    held, score = np.full((len(q), beam), -1), np.full((len(q), beam), -np.inf, np.float32)
-    held[:, 0], score[:, 0] = at, best
+    held, score = np.full((len(q), beam), n, np.int32), np.full((len(q), beam), -np.inf, np.float32)
+    held[:, 0], score[:, 0] = at, np.einsum("ij,ij->i", q, x[at])
     opened = np.ones((len(q), beam), bool)
     opened[:, 0] = False
     seen = np.zeros((len(q), n + 1), bool)
     seen[rows, at] = True
     seen[:, n] = True
+    none = np.full((1, links.shape[1]), n, np.int32)
+    out = np.concatenate([np.where(links < 0, n, links), none])
     active = rows
     while len(active):
         waiting = np.where(opened[active], -np.inf, score[active])
         pick = np.argpartition(-waiting, min(step, beam) - 1, 1)[:, :step]
         real = np.isfinite(np.take_along_axis(waiting, pick, 1))
         opened[active[:, None], pick] = True
-        nodes = np.where(real, held[active[:, None], pick], n)
-        near = np.where((nodes < n)[:, :, None], graph.links[0][np.minimum(nodes, n - 1)], -1).reshape(len(active), -1)
-        near = np.sort(np.where(near < 0, n, near), 1)
+        near = out[np.where(real, held[active[:, None], pick], n)].reshape(len(active), -1)
+        near = np.sort(near, 1)
         fresh = ~seen[active[:, None], near]
-        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        seen[active[:, None], near] = True
-        found = np.where(fresh, np.einsum("ij,ikj->ik", q[active], x[np.minimum(near, n - 1)]), -np.inf)
-        every = np.concatenate([score[active], found], 1)
-        keep = np.argpartition(-every, beam - 1, 1)[:, :beam]
-        score[active] = np.take_along_axis(every, keep, 1)
-        held[active] = np.take_along_axis(np.concatenate([held[active], near], 1), keep, 1)
-        opened[active] = np.take_along_axis(np.concatenate([opened[active], ~fresh], 1), keep, 1)
-        active = active[(~opened[active]).any(1)]
-    return np.where(np.isfinite(score), held, -1)
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # opened nodes may share a neighbour
+        r, c = np.nonzero(fresh)
+        node = near[r, c]
+        seen[active[r], node] = True
+        found = np.einsum("ij,ij->i", q[active[r]], x[node])
+        better = found > score[active[r]].min(1)
+        r, node, found = r[better], node[better], found[better]
+        counts = np.bincount(r, minlength=len(active))
+        place = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        wide = beam + counts.max(initial=0)
+        every, nodes, done = np.full((len(active), wide), -np.inf, np.float32), np.full((len(active), wide), n, np.int32), np.ones((len(active), wide), bool)
+        every[:, :beam], nodes[:, :beam], done[:, :beam] = score[active], held[active], opened[active]
+        every[r, beam + place], nodes[r, beam + place], done[r, beam + place] = found, node, False
+        if wide > beam:
+            keep = np.argpartition(-every, beam - 1, 1)[:, :beam]
+            every, nodes, done = (np.take_along_axis(m, keep, 1) for m in (every, nodes, done))
+        score[active], held[active], opened[active] = every, nodes, done
+        active = active[(~done).any(1)]
+    order = np.argsort(-score, 1)
+    score, held = np.take_along_axis(score, order, 1), np.take_along_axis(held, order, 1)
+    return np.where(np.isfinite(score), held, -1), score
+
+
+def descend(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray) -> np.ndarray:
+    """The node that greedy steps reach from node 0 through ``layers``, from the top down."""
+    at, rows = np.zeros(len(q), np.int64), np.arange(len(q))
+    best = np.einsum("ij,ij->i", q, x[at])
+    for links in layers:
+        while True:
+            near = links[at]
+            score = np.where(near >= 0, np.einsum("ij,ikj->ik", q, x[near]), -np.inf)
+            k = score.argmax(1)
+            better = score[rows, k] > best
+            if not better.any():
+                break
+            at, best = np.where(better, near[rows, k], at), np.where(better, score[rows, k], best)
+    return at
+
+
+def insert(x: np.ndarray, links: np.ndarray, lo: int, hi: int, at: np.ndarray, degree: int, breadth: int) -> None:
+    """Insert nodes lo to hi into a layer that holds the nodes before them.
+
+    A node's candidates are what a search of the layer finds, and the nodes before it in the same
+    batch. Nodes chosen by more than 2 * degree others keep a diverse choice of them.
+    """
+    own = x[lo:hi]
+    within = own @ own.T
+    within[np.triu_indices(hi - lo)] = -np.inf
+    cand, score = np.tile(np.arange(lo, hi, dtype=np.int32), (hi - lo, 1)), within
+    if lo:
+        found, near = beam_search(x[:lo], links[:lo], own, at, breadth)
+        cand, score = np.concatenate([found, cand], 1), np.concatenate([near, score], 1)
+    width = min(breadth, cand.shape[1])
+    top = np.argpartition(-score, width - 1, 1)[:, :width]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), 1), 1)
+    cand, score = np.take_along_axis(cand, top, 1), np.take_along_axis(score, top, 1)
+    forward = diverse(x, np.where(np.isfinite(score), cand, -1), score, degree)
+    links[lo:hi, :degree] = forward
+    src, dst = np.repeat(np.arange(lo, hi), degree), forward.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    met, first, counts = np.unique(dst, return_index=True, return_counts=True)
+    place = np.arange(len(dst)) - np.repeat(first, counts)
+    held = (links[met] >= 0).sum(1)
+    wide = int((held + counts).max(initial=0))
+    every = np.full((len(met), max(wide, 2 * degree)), -1, np.int32)
+    every[:, : 2 * degree] = links[met]
+    every[np.repeat(np.arange(len(met)), counts), np.repeat(held, counts) + place] = src
+    fits = held + counts <= 2 * degree
+    links[met[fits]] = every[fits, : 2 * degree]
+    full = np.flatnonzero(~fits)
+    if len(full):
+        nodes, many = met[full], every[full]
+        near = np.where(many >= 0, np.einsum("ij,ikj->ik", x[nodes], x[many]), -np.inf)
+        order = np.argsort(-near, 1)
+        many, near = np.take_along_axis(many, order, 1), np.take_along_axis(near, order, 1)
+        # At most 6 * degree are weighed: those that choose a node come to it over many batches.
+        links[nodes] = diverse(x, many[:, : 6 * degree], near[:, : 6 * degree], 2 * degree)
+
+
+def build_graph(ids: list[np.ndarray], vectors: np.ndarray, norm: float, degree: int, breadth: int, batch: int = 512, seed: int = 3) -> Graph:
+    """The graph of one shard from distinct vectors and the ids of each, by insertion in batches.
+
+    Levels are geometric with ratio 1 / degree, drawn from a fixed seed; nodes of higher levels go
+    first, so that a layer is a prefix of the nodes and is whole before lower nodes descend it.
+    """
+    rng = np.random.default_rng(seed)
+    level = np.floor(-np.log(1 - rng.random(len(ids))) / np.log(degree)).astype(int)
+    order = np.lexsort((rng.permutation(len(ids)), -level))
+    ids, vectors, level = [ids[i] for i in order], vectors[order], level[order]
+    starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+    x = lift(vectors, norm)
+    links = []
+    for layer in range(level[0], -1, -1):
+        n, above = int((level >= layer).sum()), len(links[-1]) if links else 0
+        own = np.full((n, 2 * degree), -1, np.int32)
+        lo = 0
+        while lo < n:
+            hi = min(n, lo + min(batch, max(32, lo // 4)))
+            if lo < above:
+                hi = min(hi, above)
+            at = descend(x, links, x[lo:hi]) if lo >= above else np.zeros(hi - lo, np.int64)
+            insert(x, own, lo, hi, at, degree, breadth)
+            lo = hi
+        links.append(own)
+    return Graph(np.concatenate(ids), starts, vectors, x, links)
+
+
+def search(graph: Graph, queries: np.ndarray, beam: int) -> np.ndarray:
+    """Node numbers of the at most ``beam`` nearest found per query row, -1 fills."""
+    q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+    return beam_search(graph.lifted, graph.links[-1], q, descend(graph.lifted, graph.links[:-1], q), beam)[0]
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
@@ -222,7 +255,7 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, breadth: int)
     return written(index, "ann-index"), plan
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, degree: int = 16, breadth: int = 64, beam: int = 160, wave_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16384, degree: int = 20, breadth: int = 40, beam: int = 160, wave_rows: int = 32768) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's ``k`` nearest found by inner product.
 
     ``vectors`` and ``queries``: vec_id, embedding. A query's own id is no candidate. Scores are
@@ -262,7 +295,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
         ids, q = wanted["id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in wanted["vector"]])
         out = []
         for lo in range(0, len(ids), 256):
-            part = q[lo : lo + 256]
+            part = q[lo : lo + 256]  # bounds what a search holds at a time
             found = search(graph, part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300), max(beam, k + 1))
             score = np.einsum("ij,ikj->ik", part, graph.vectors[found])
             for row in range(len(part)):

@@ -6,9 +6,12 @@ expectation-maximisation on documents whose counts are held out.
 
 Texts are read once, into chunks: rows that hold some million tokens as local ids. A chunk sends
 one count per distinct n-gram (never one row per token), so a word of every document is one entry
-per chunk; reducers of bounded size add the counts and answer each chunk with one count per n-gram
-that it has. Chunks, answers and what the weights are learned from are written to the shared
-folder; the driver sees sums per bucket only.
+per chunk. Counts are added in a tree: a merger takes one range of keys from a bounded number of
+chunks, or of mergers below it, and sends its sums to at most as many ranges of the next level, until
+one merger holds a range for the whole corpus; its sums go back down the same way, one count per
+n-gram asked for. So messages grow with the chunks times the levels, not with their square, and a
+merger's size is bounded. Chunks, what mergers keep, answers and what the weights are learned from
+are written to the shared folder; the driver sees sums per bucket only.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import forget, written
 
 #: Local ids: 0 pads the front of a text, 1 ends it, words follow.
 END, FIRST_WORD = 1, 2
@@ -35,8 +38,14 @@ BUCKETS = 48
 SCORED, COUNTED, TUNING = 0, 1, 2
 
 CHUNK = "tuning boolean, n_tokens long, n_counted long, n_tuning long, doc_ids binary, known binary, roles binary, lengths binary, tokens binary, words binary"
-PART = "reducer long, chunk long, tuning boolean, size long, keys binary, counted binary, held binary"
-ANSWER = "chunk long, reducer long, size long, every binary, apart binary"
+#: To a merger: the sender (a chunk, or a group of the level below), the order and range of keys as
+#: the sender numbers them, its keys and counts.
+PART = "grp long, k int, rng long, sender long, tuning boolean, part long, keys binary, counted binary, held binary"
+#: Of a merger: parts for the next level, where each sender's keys are among its own (``at``), and at
+#: the top answers (to a sender) and the number of distinct keys.
+MERGED = "kind string, grp long, k int, rng long, sender long, tuning boolean, part long, keys binary, counted binary, held binary, at binary"
+#: To a sender, for the keys that it sent as ``part``: its counts in range ``fine`` of this level.
+ANSWER = "sender long, k int, part long, fine long, every binary, apart binary"
 STATS = "buckets binary, chances binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -153,52 +162,120 @@ def grams(row, order: int) -> Grams:
     return Grams(keys, contexts, lengths, roles)
 
 
-def _count(all_chunks: DataFrame, order: int, reducers: int) -> DataFrame:
-    """Answers: per chunk and reducer, the corpus counts of the chunk's distinct n-grams in key
-    order; of tuning chunks also the counts without the tuning documents. The rows of chunk -1
-    hold each reducer's number of distinct n-grams that were counted."""
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _in_ranges(keys: np.ndarray, final: int, ranges: int) -> np.ndarray:
+    """The range of each key at a level of ``ranges`` ranges, each a union of the ``final`` ones."""
+    at = (keys >> np.uint64(32)) * np.uint64(final) >> np.uint64(32)
+    return (at * np.uint64(ranges) // np.uint64(final)).astype(np.int64)
+
+
+def _parts(keys: np.ndarray, counted: np.ndarray, held: np.ndarray, final: int, ranges: int) -> Iterator[tuple]:
+    """Sorted keys and their counts cut by range: (range, packed keys, counted, held)."""
+    at = _in_ranges(keys, final, ranges)
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+        if lo < hi:
+            yield int(at[lo]), squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), squeeze(counted[lo:hi]), squeeze(held[lo:hi])
+
+
+@dataclass(frozen=True)
+class Level:
+    """A level of mergers: how many groups of senders and how many ranges of keys."""
+
+    groups: int
+    ranges: int
+
+
+def tree(n_chunks: int, final: int, fan: int) -> list[Level]:
+    """Levels until one group is left; the last has all ``final`` ranges."""
+    levels, groups, ranges = [], n_chunks, 1
+    while True:
+        groups, ranges = max(1, -(-groups // fan)), min(final, ranges * fan)
+        if groups == 1:
+            return [*levels, Level(1, final)]
+        levels.append(Level(groups, ranges))
+
+
+def _count(all_chunks: DataFrame, order: int, levels: list[Level], fan: int) -> tuple[DataFrame, int]:
+    """Answers: per chunk and range of the lowest level, the corpus counts of the chunk's distinct
+    n-grams in key order; of tuning chunks also the counts without the tuning documents. And the
+    number of distinct words that were counted."""
+    final = levels[-1].ranges
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups, ranges = levels[0].groups, levels[0].ranges
         for batch in batches:
             for row in batch.itertuples():
                 g = grams(row, order)
                 role = np.repeat(g.roles, g.lengths)
                 for k in range(order):
                     asked, at = np.unique(g.keys[k], return_inverse=True)
-                    counted = np.bincount(at[role == COUNTED], minlength=len(asked))
-                    held = np.bincount(at[role == TUNING], minlength=len(asked))
-                    reducer = ((asked >> np.uint64(32)) * np.uint64(reducers) >> np.uint64(32)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(reducer)) + 1
-                    out = []
-                    for lo, hi in zip([0, *cuts], [*cuts, len(asked)], strict=True):
-                        own = asked[lo:hi]
-                        out.append((k * reducers + int(reducer[lo]), row.chunk, row.tuning, hi - lo, squeeze(np.diff(own, prepend=np.uint64(0))), squeeze(counted[lo:hi].astype(np.uint32)), squeeze(held[lo:hi].astype(np.uint32))))
-                        if len(out) == 256:
-                            yield pd.DataFrame(out, columns=[c.split()[0] for c in PART.split(", ")])
-                            out = []
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in PART.split(", ")])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        reducer = int(group["reducer"].iloc[0])
-        keys = [np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        apart = np.bincount(at, weights=np.concatenate([expand(x, np.uint32) for x in group["counted"]]))
-        every = apart + np.bincount(at, weights=np.concatenate([expand(x, np.uint32) for x in group["held"]]))
-        out, lo = [(-1, reducer, int((every > 0).sum()), b"", b"")], 0
-        for chunk, tuning, own in zip(group["chunk"], group["tuning"], keys, strict=True):
-            mine = at[lo : lo + len(own)]
-            lo += len(own)
-            out.append((chunk, reducer, len(own), squeeze(every[mine].astype(np.uint64)), squeeze(apart[mine].astype(np.uint64)) if tuning else b""))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
-
-    return written(all_chunks.mapInPandas(send, PART).groupBy("reducer").applyInPandas(add, ANSWER), "lm-answers")
-
-
-def _looked_up(g: Grams, answers: pd.DataFrame, column: str, reducers: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+                    counted = np.bincount(at[role == COUNTED], minlength=len(asked)).astype(np.uint64)
+                    held = np.bincount(at[role == TUNING], minlength=len(asked)).astype(np.uint64)
+                    # Consecutive ids would put a file's chunks in one group: spread them.
+                    group = xxhash.xxh3_64_intdigest(int(row.chunk).to_bytes(8, "little")) % groups
+                    yield pd.DataFrame([(group, k, r, row.chunk, row.tuning, r, *packed) for r, *packed in _parts(asked, counted, held, final, ranges)], columns=_names(PART))
+
+    def merger(above: Level | None):
+        def merge(batch: pd.DataFrame) -> pd.DataFrame:
+            grp, k, rng = (int(batch[c].iloc[0]) for c in ("grp", "k", "rng"))
+            keys = [np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in batch["keys"]]
+            merged, at = np.unique(np.concatenate(keys), return_inverse=True)
+            counted = np.bincount(at, np.concatenate([expand(x, np.uint64) for x in batch["counted"]]), len(merged)).astype(np.uint64)
+            held = np.bincount(at, np.concatenate([expand(x, np.uint64) for x in batch["held"]]), len(merged)).astype(np.uint64)
+            out, lo = [], 0
+            for sender, tuning, part, own in zip(batch["sender"], batch["tuning"], batch["part"], keys, strict=True):
+                mine = at[lo : lo + len(own)]
+                lo += len(own)
+                if above is None:
+                    every = squeeze((counted + held)[mine])
+                    out.append(("answer", grp, k, rng, sender, tuning, part, b"", every, squeeze(counted[mine]) if tuning else b"", b""))
+                else:
+                    out.append(("kept", grp, k, rng, sender, tuning, part, b"", b"", b"", squeeze(np.diff(mine, prepend=0).astype(np.uint32))))
+            if above is None:
+                out.append(("distinct", grp, k, int((counted + held > 0).sum()), 0, False, 0, b"", b"", b"", b""))
+            else:
+                for r, *packed in _parts(merged, counted, held, final, above.ranges):
+                    out.append(("part", grp // fan, k, r, grp, True, rng, *packed, b""))
+            return pd.DataFrame(out, columns=_names(MERGED))
+
+        return merge
+
+    def answered(kept: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(kept):
+            return pd.DataFrame(columns=_names(ANSWER))
+        found = found.sort_values("fine")
+        every = np.concatenate([expand(x, np.uint64) for x in found["every"]])
+        apart = np.concatenate([expand(x, np.uint64) for x in found["apart"]])
+        out = []
+        for row in kept.itertuples():
+            at = np.cumsum(expand(row.at, np.uint32), dtype=np.int64)
+            out.append((row.sender, row.k, row.part, row.rng, squeeze(every[at]), squeeze(apart[at]) if row.tuning else b""))
+        return pd.DataFrame(out, columns=_names(ANSWER))
+
+    parts, merged = all_chunks.mapInPandas(send, PART), []
+    for above in [*levels[1:], None]:
+        merged.append(written(parts.groupBy("grp", "k", "rng").applyInPandas(merger(above), MERGED), "lm-merged"))
+        parts = merged[-1].where("kind = 'part'").drop("kind", "at")
+    distinct = merged[-1].where("kind = 'distinct' and k = 0").agg(F.sum("rng")).first()[0] or 0
+    answers = merged[-1].where("kind = 'answer'").select("sender", "k", "part", F.col("rng").alias("fine"), F.col("counted").alias("every"), F.col("held").alias("apart"))
+    for own in reversed(merged[:-1]):
+        # A merger (group, range) sent the next level several finer ranges: it takes all answers to them.
+        own = own.where("kind = 'kept'").select("grp", "k", "rng", "sender", "tuning", "part", "at")
+        answers = written(own.groupBy("grp", "k", "rng").cogroup(answers.groupBy("sender", "k", "part")).applyInPandas(answered, ANSWER), "lm-answers")
+    if len(merged) > 1:
+        forget(*merged)
+    return answers.select("sender", "k", "part", "every", "apart"), distinct
+
+
+def _looked_up(g: Grams, answers: pd.DataFrame, column: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """By order, the count of the n-gram at each token and of its context."""
-    counts, own, found = [], [], answers.sort_values("reducer")
+    counts, own, found = [], [], answers.sort_values("part")
     for k in range(len(g.keys)):
-        mine = found[found["reducer"] // reducers == k]
+        mine = found[found["k"] == k]
         own.append(g.asked(k))
         counts.append(np.concatenate([expand(x, np.uint64) for x in mine[column]]).astype(np.int64))
     grams_at = [counts[k][np.searchsorted(own[k], g.keys[k])] for k in range(len(g.keys))]
@@ -257,7 +334,7 @@ def learn_weights(stats: DataFrame, order: int, rounds: int, prior: float = 1.0)
     return weights
 
 
-def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one_in: int = 20, chunk_tokens: int = 1_200_000, reducer_keys: int = 1_500_000, rounds: int = 12) -> DataFrame:
+def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one_in: int = 20, chunk_tokens: int = 1_200_000, range_tokens: int = 1_500_000, fan: int = 128, rounds: int = 12) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.
 
@@ -274,27 +351,24 @@ def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one
     tunes = F.pmod(F.xxhash64(F.lit("tuning"), "doc_id"), F.lit(tuning_one_in)) == 0
     role = F.when(~teaches, SCORED).when(tunes, TUNING).otherwise(COUNTED)
     all_chunks = chunks(docs, role, chunk_tokens)
-    t = all_chunks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_counted").alias("counted"), F.sum("n_tuning").alias("tuning")).first()
+    t = all_chunks.agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"), F.sum("n_counted").alias("counted"), F.sum("n_tuning").alias("tuning")).first()
     counted, n = t.counted or 0, (t.counted or 0) + (t.tuning or 0)
-    reducers = max(1, -(-(t.tokens or 0) // reducer_keys))
-    answers = _count(all_chunks, order, reducers)
-    distinct = answers.where((F.col("chunk") == -1) & (F.col("reducer") < reducers)).agg(F.sum("size")).first()[0] or 0
-    answers = answers.where("chunk >= 0").select("chunk", "reducer", "every", "apart")
+    answers, distinct = _count(all_chunks, order, tree(t.chunks, max(1, -(-(t.tokens or 0) // range_tokens)), fan), fan)
 
     def estimate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         for row in left.itertuples():
-            bucket, every = _chances(*_looked_up(grams(row, order), right, "apart", reducers), counted, distinct)
+            bucket, every = _chances(*_looked_up(grams(row, order), right, "apart"), counted, distinct)
             return pd.DataFrame({"buckets": [squeeze(bucket.astype(np.uint8))], "chances": [every.astype(np.float32).tobytes()]})
         return pd.DataFrame({"buckets": [], "chances": []})
 
-    tuning = all_chunks.where("tuning").groupBy("chunk").cogroup(answers.where("length(apart) > 0").groupBy("chunk"))
+    tuning = all_chunks.where("tuning").groupBy("chunk").cogroup(answers.where("length(apart) > 0").groupBy("sender"))
     stats = written(tuning.applyInPandas(estimate, STATS), "lm-tuning")
     weights = learn_weights(stats, order, rounds)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         for row in left.itertuples():
             g = grams(row, order)
-            grams_at, contexts_at = _looked_up(g, right, "every", reducers)
+            grams_at, contexts_at = _looked_up(g, right, "every")
             bucket, every = _chances(grams_at, contexts_at, n, distinct)
             mixed = np.einsum("kt,tk->t", every, weights[bucket])
             starts = np.concatenate([[0], np.cumsum(g.lengths)[:-1]])
@@ -307,5 +381,5 @@ def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one
             })
         return pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    scored = all_chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORES)
+    scored = all_chunks.groupBy("chunk").cogroup(answers.groupBy("sender")).applyInPandas(score, SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeworks.llm import ann, common, components, lm, metric_join, minhash, quality
+from gaugeworks.llm import ann, common, components, lm, metric_join, minhash, quality, registry
 from tests.llm.test_native import awkward, docs, empty  # noqa: F401  fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -52,8 +52,19 @@ def brute_model(rows, teaches):
     return seen, sum(seen.values()), len(seen)
 
 
-def test_base_score_and_counts(docs):  # noqa: F811
-    out = lm.score_documents(docs, lm.crc_mod(F.col("doc_id"), 7) != 2, chunk_tokens=700, reducer_keys=300).collect()
+def test_levels_of_the_tree():
+    for n, final, fan in ((1, 1, 4), (3, 9, 4), (70, 60, 4), (5000, 4000, 16), (10**7, 8 * 10**6, 128)):
+        levels = lm.tree(n, final, fan)
+        assert levels[-1] == lm.Level(1, final) and levels[0].groups * fan >= n
+        assert all(a.groups <= b.groups * fan and b.ranges <= a.ranges * fan for a, b in zip(levels, levels[1:]))
+
+
+@pytest.mark.parametrize(("chunk_tokens", "fan"), [(700, 128), (150, 3), (100, 2)])
+def test_base_score_and_counts(docs, chunk_tokens, fan):  # noqa: F811
+    out = lm.score_documents(docs, lm.crc_mod(F.col("doc_id"), 7) != 2, chunk_tokens=chunk_tokens, range_tokens=200, fan=fan, tuning_one_in=4).collect()
+    plain = lm.score_documents(docs, lm.crc_mod(F.col("doc_id"), 7) != 2, tuning_one_in=4).collect()
+    scores = [sorted((str(r.doc_id), r.n_tokens, round(r.score, 5)) for r in x) for x in (out, plain)]
+    assert scores[0] == scores[1]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     teaches = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2
     seen, n, v = brute_model(rows, teaches)
@@ -203,6 +214,34 @@ def test_search_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_of_the_registered_query(spark):
+    """Unclustered vectors of 64 dimensions, the query's own settings, against all products."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in registry.op2_ann(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    best = ids[np.argsort(-products, 1)[:, :20]]
+    assert np.mean([len(got[ids[a]] & set(b.tolist())) / 20 for a, b in zip(asked, best, strict=True)]) >= 0.95
+
+
+def test_graph_search_finds_neighbours():
+    """Recall within one shard of several thousand nodes, built by insertion in many batches."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 32))
+    graph = ann.build_graph([np.array([i]) for i in range(5000)], x, np.linalg.norm(x, axis=1).max(), 20, 40)
+    q = rng.normal(size=(100, 32))
+    found = graph.ids[ann.search(graph, q, 160)][:, :20]
+    best = np.argsort(-(q @ x.T), 1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), best.tolist(), strict=True)]) >= 0.95
+    again = ann.Graph.from_bytes(graph.to_bytes())
+    assert all(np.array_equal(a, b) for a, b in zip(graph.links, again.links, strict=True))
+
+
 @pytest.mark.parametrize("shard_rows", [400, 8192])
 def test_search_among_many_equal_vectors(spark, shard_rows):
     """A third of the rows are copies of one vector; small groups of copies are the nearest of others."""
