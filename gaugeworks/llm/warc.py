@@ -3,28 +3,33 @@
 Writer: records are text built by DataFrame expressions and written by Spark's text writer with
 CRLF as line end, so executors write archives to any file system that Spark knows.
 
-Reader: every occurrence of the magic is a candidate record whose Content-Length gives the offset
-of its successor. Candidates from all tasks form links (file, offset) -> successor; pointer jumping
-from offset 0 keeps those that the chain reaches. A magic inside a payload is never reached.
+Reader: Spark's text source cuts archives at the magic, and large archives into splits, so no task
+holds an archive; sums over a file's splits give every piece its offset. A piece with a header is a
+candidate record whose Content-Length gives the offset of its successor, whichever task has that.
+Candidates from all tasks form links (file, offset) -> successor; pointer jumping from offset 0 keeps
+those that the chain reaches. A magic inside a payload is never reached. Payloads stay in the JVM.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm.common import fresh_path, written
 
 VERSION = "WARC/1.1"
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-RECORD = "path string, offset long, successor long, record_type string, record_id string, target_uri string, refers_to string, declared_digest string, payload_digest string, payload_bytes long, payload binary"
+#: Where archives are cut. No beginning of it is also its end, so a reader that meets it across two
+#: buffers can't miss it.
+CUT = "\nWARC/1."
+MAGIC_BYTES = len(CUT) - 1
+BLANK = "\r\n\r\n"
+PLACE = ["path", "split", "within"]
+FIELDS = ["record_type", "record_id", "target_uri", "refers_to", "declared_digest"]
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -80,41 +85,6 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     marked.select(record.alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=records_per_file).text(path)
 
 
-def _fields(head: bytes) -> dict[bytes, bytes]:
-    lines = (x.partition(b":") for x in head.split(b"\r\n"))
-    return {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
-
-
-def parse_candidates(path: str, data: bytes, with_payload: bool) -> Iterator[tuple]:
-    """Every magic whose header is complete and gives a length within the file, with its successor.
-
-    No chain is followed here: what stands inside payloads is emitted like any other.
-    """
-    for found in MAGIC.finditer(data):
-        at = found.start()
-        end = data.find(b"\r\n\r\n", found.end() - 2)
-        if end < 0:
-            continue
-        head = _fields(data[found.end() : end])
-        length = head.get(b"content-length", b"")
-        if not length.isdigit():
-            continue
-        start, stop = end + 4, end + 4 + int(length)
-        if stop + 4 > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
-            continue
-        text = {k: v.decode("utf-8", "replace") for k, v in head.items()}
-        kind = text.get(b"warc-type", "")
-        http = data.find(b"\r\n\r\n", start, stop) if text.get(b"content-type", "").startswith("application/http") else -1
-        body = data[http + 4 if http >= 0 else start : stop]
-        declared = text.get(b"warc-payload-digest", "").removeprefix("sha1:")
-        if kind == "revisit":
-            size = _fields(data[start:http]).get(b"content-length", b"") if http >= 0 else b""
-            digest, n = declared or None, int(size) if size.isdigit() else None
-        else:
-            digest, n = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
-        yield path, at, stop + 4, kind, text.get(b"warc-record-id"), text.get(b"warc-target-uri"), text.get(b"warc-refers-to"), declared or None, digest, n, body if with_payload else None
-
-
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     """Which candidates the chain from offset 0 reaches, by pointer jumping.
 
@@ -143,45 +113,139 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The candidate records of all archives under ``path``; a task reads whole archives."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                held = 0
-                for row in parse_candidates(name, bytes(data), with_payload):
-                    rows.append(row)
-                    held += 200 + len(row[-1] or b"")
-                    if held > 16 << 20:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+@F.pandas_udf(T.LongType())
+def _within(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Where each piece starts within its split: the text source keeps a split's order."""
+    last, at = None, 0
+    for path, split, size in batches:
+        out = np.empty(len(size), np.int64)
+        keys = list(zip(path, split, strict=True))
+        changed = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
+        sums = np.concatenate([[0], np.cumsum(size.to_numpy())])
+        for lo, hi in zip([0, *changed], [*changed, len(keys)], strict=True):
+            if lo in changed:
+                at = 0
+            out[lo:hi] = at + sums[lo:hi] - sums[lo]
+            at += int(sums[hi] - sums[lo])
+        last = keys[-1] if keys else last
+        yield pd.Series(out)
+
+
+def _field(head: Column, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(head, f"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
+
+
+def _payload(body: Column, is_http: Column) -> Column:
+    """What follows the HTTP header of a block, or the block itself."""
+    text = body.cast("string")
+    http = F.octet_length(F.substring_index(text, BLANK, 1)) + 5
+    return F.when(is_http & (F.instr(text, BLANK) > 0), body.substr(http, F.octet_length(body))).otherwise(body)
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """``rows`` (body, record_type, is_http, declared_digest) with payload, payload_digest and
+    payload_bytes: of the payload, for revisits as their headers tell."""
+    http_length = _field(F.substring_index(F.concat(F.lit("\r\n"), F.col("body").cast("string")), BLANK, 1), "content-length")
+    revisit = F.col("record_type") == "revisit"
+    rows = rows.withColumn("payload", _payload(F.col("body"), F.col("is_http")))
+    return rows.withColumns({
+        "payload_digest": F.when(revisit, F.col("declared_digest")).otherwise(base32_sha1(F.col("payload"))),
+        "payload_bytes": F.when(revisit, F.when(F.col("is_http"), http_length.try_cast("long"))).otherwise(F.octet_length("payload").cast("long")),
+    })
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces between magics: place, value, whether a record can begin here (``length`` is then
+    the block's, else null), ``body_at`` from the magic's end, and the header's fields.
+
+    A piece that holds its record to the end has its ``body``.
+    """
+    raw = spark.read.option("lineSep", CUT).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"))
+    within = _within.asNondeterministic()(F.xxhash64("path"), "split", F.octet_length("value").cast("long") + len(CUT))
+    raw = raw.withColumn("within", within)
+    first = (F.col("split") == 0) & (F.col("within") == 0)
+    begins = ~first | F.col("value").startswith(CUT[1:])
+    text = F.when(first, F.expr(f"substring(value, {MAGIC_BYTES + 1})")).otherwise(F.col("value"))
+    raw = raw.withColumn("text", text)
+    # The cut took the last byte of a header that ends where the next magic begins.
+    whole = F.concat("text", F.lit("\n"))
+    head = F.substring_index(whole, BLANK, 1)
+    length = F.regexp_extract(F.concat(head, F.lit("\r\n")), r"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", 1).try_cast("long")
+    ok = begins & whole.rlike(r"^[01]\r\n") & (F.instr(whole, BLANK) > 0)
+    out = raw.withColumns({
+        "length": F.when(ok, length), "body_at": F.octet_length(head).cast("long") + len(BLANK), "clean": F.col("value").endswith(BLANK[:-1]),
+        "size": F.octet_length("value").cast("long"), "record_type": F.coalesce(_field(head, "warc-type"), F.lit("")), "record_id": _field(head, "warc-record-id"),
+        "target_uri": _field(head, "warc-target-uri"), "refers_to": _field(head, "warc-refers-to"), "declared_digest": F.regexp_replace(_field(head, "warc-payload-digest"), "^sha1:", ""),
+        "is_http": F.coalesce(_field(head, "content-type").startswith("application/http"), F.lit(False)),
+    })
+    full = F.col("body_at") + F.col("length") + len(BLANK) - 1 <= F.octet_length("text")
+    body = F.col("text").cast("binary").substr((F.col("body_at") + 1).cast("int"), F.col("length").cast("int"))
+    return out.withColumn("body", F.when(full, body))
+
+
+CHAIN = "path string, split long, within long, offset long, successor long, seq long, n_pieces long"
+
+
+def verified(bare: DataFrame) -> DataFrame:
+    """The pieces that the boundary chain of their file covers: place, the record's offset and
+    successor, and the piece's number within it. Only offsets are gathered, a file's in one task."""
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where("length > 0").select("path", "content")
-    return files.mapInPandas(scan, RECORD)
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["split", "within"])
+        start = group["start"].to_numpy()
+        offset = np.where(start == 0, 0, start - MAGIC_BYTES)
+        length = group["length"].to_numpy(float)
+        clean = np.concatenate([[True], group["clean"].to_numpy()[:-1]])
+        successor = np.where(np.isnan(length), -1, offset + MAGIC_BYTES + group["body_at"].to_numpy() + np.nan_to_num(length).astype(np.int64) + len(BLANK))
+        end = int(group["file_size"].iloc[0])
+        ends = np.isin(successor, offset[clean]) | (successor == end)
+        good = clean & (successor > offset) & ends
+        kept = np.zeros(len(offset), bool)
+        kept[good] = reachable(offset[good], successor[good])
+        heads = np.flatnonzero(kept)
+        if not len(heads):
+            return pd.DataFrame(columns=[c.split()[0] for c in CHAIN.split(", ")])
+        own = heads[np.maximum(np.searchsorted(heads, np.arange(len(offset)), "right") - 1, 0)]
+        inside = (offset >= offset[own]) & (offset < successor[own])
+        out = group.loc[:, PLACE].assign(offset=offset[own], successor=successor[own], seq=np.arange(len(offset)) - own)[inside]
+        return out.assign(n_pieces=out.groupby("offset")["seq"].transform("size"))
+
+    held = bare.groupBy("path", "split").agg(F.sum(F.col("size") + len(CUT)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    base = held.select("path", "split", F.coalesce(before, F.lit(0)).alias("base"))
+    links = bare.join(base, ["path", "split"]).select(*PLACE, (F.col("base") + F.col("within")).alias("start"), "length", "body_at", "clean", "file_size")
+    return written(links.groupBy("path").applyInPandas(verify, CHAIN), "warc-chain")
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives under ``path`` that the boundary chain reaches.
+    """The records of all archives under ``path`` that the boundary chain reaches: path, offset,
+    successor, record_type, record_id, target_uri, refers_to, declared_digest, payload_digest,
+    payload_bytes and payload.
 
     payload_digest and payload_bytes are computed from the stored payload, for revisits taken from
-    the record's headers. An empty file has no record; a file whose chain breaks (a record cut
-    short) yields the records before the break. Archives are read whole: one that a task's memory
-    cannot hold has to be split at the writer.
+    the record's headers; payload is null unless asked for. An empty file has no record; a file
+    whose chain breaks (a record cut short, or whose end is neither a record nor the file's) yields
+    the records before the break. Archives of any size are read by splits; a record must fit a row.
     """
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        kept = reachable(group["offset"].to_numpy(), group["successor"].to_numpy())
-        return group.loc[kept, ["path", "offset"]]
-
-    bare = written(candidates(spark, path, False), "warc-candidates")
-    found = candidates(spark, path) if with_payload else bare
-    links = bare.select("path", "offset", "successor")
-    chain = links.groupBy("path").applyInPandas(verify, "path string, offset long")
-    return found.join(chain, ["path", "offset"], "left_semi")
+    found = _described(pieces(spark, path))
+    described = ["payload_digest", "payload_bytes"]
+    bare = written(found.select(*PLACE, "file_size", "length", "body_at", "clean", "size", *FIELDS, "is_http", *described), "warc-pieces")
+    chain = verified(bare)
+    heads = chain.where("seq = 0").drop("seq")
+    columns = ["path", "offset", "successor", *FIELDS, *described, "payload"]
+    some = found.select(*PLACE, "payload") if with_payload else bare.select(*PLACE).withColumn("payload", F.lit(None).cast("binary"))
+    out = heads.where("n_pieces = 1").join(bare, PLACE).join(some, PLACE).select(*columns)
+    # Records whose payload holds magics are in several pieces: only these are put together.
+    many = chain.where("n_pieces > 1")
+    if many.isEmpty():
+        return out
+    parts = pieces(spark, path).select(*PLACE, "text", "value").join(many, PLACE)
+    parts = parts.select("path", "offset", "successor", F.struct("seq", F.when(F.col("seq") == 0, F.col("text")).otherwise(F.col("value")).alias("x")).alias("p"))
+    joined = parts.groupBy("path", "offset", "successor").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"]), CUT).alias("record"))
+    joined = joined.join(heads.where("n_pieces > 1").select("path", "offset", "split", "within"), ["path", "offset"]).join(bare.drop(*described), PLACE)
+    body = F.col("record").cast("binary").substr((F.col("body_at") + 1).cast("int"), F.col("length").cast("int"))
+    joined = _described(joined.withColumn("body", body))
+    return out.unionByName(joined.withColumn("payload", F.col("payload") if with_payload else F.lit(None).cast("binary")).select(*columns))
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:

@@ -224,6 +224,37 @@ def test_magic_in_payload_is_rejected(spark):
     assert by[4, "response"].payload_digest == by[2, "revisit"].payload_digest == by[4, "response"].declared_digest
 
 
+def test_archives_are_read_by_splits(spark, tmp_path):
+    """Records across splits, payloads of several MB, magics and line ends at any place in them."""
+    rng = np.random.default_rng(2)
+    fake = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    parts = ["x" * 700, "\r\n", "\r\n\r\n", "\nWARC/1.", "WARC/1.0\r\n", fake, "é", "\n"]
+    htmls = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(300)]
+    htmls += ["WARC/1.1\r\nContent-Length: 1\r\n\r\n", "m" * 5_000_000 + fake, fake * 2000]
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn("url", F.lit("http://h/WARC/1.1"))
+    for name, some, size in (("small", "page_id < 300", "3000b"), ("large", "page_id >= 300", "400000b"), ("all", "true", "128m")):
+        path = f"file://{tmp_path}/{name}"
+        own = df.where(some)
+        warc.write_warc(own.coalesce(1), path, min_bytes=1 << 40)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = warc.read_warc(spark, path).select("record_id", "payload", "payload_digest", "declared_digest").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert Counter((r.record_id, bytes(r.payload).decode()) for r in got) == Counter((f"<urn:page:{r.page_id}>", r.html) for r in own.collect())
+        assert all(r.payload_digest == r.declared_digest for r in got)
+
+
+def test_broken_archives(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r%d>\r\nContent-Length: 3\r\n\r\na\xffc\r\n\r\n"
+    files = {"whole": record % 1 + record % 2, "cut": record % 3 + (record % 4)[:-2], "late": b"junk" + record % 5, "none": b"", "gap": record % 6 + b"x\r\n" + record % 7, "text": b"plain text"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert {r.record_id for r in got} == {"<r1>", "<r2>", "<r3>"}
+    assert {bytes(r.payload) for r in got} == {b"a\xffc"}
+
+
 def test_pointer_jumping_follows_the_chain():
     rng = np.random.default_rng(1)
     starts = np.concatenate([[0], np.cumsum(rng.integers(10, 50, 300))])
