@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,69 +40,54 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def labels(linked: np.ndarray) -> np.ndarray:
-    """Of a symmetric boolean matrix, each node's smallest reachable node."""
-    n = len(linked)
-    lab = np.arange(n)
-    while True:
-        new = np.minimum(lab, np.where(linked, lab[None, :], n).min(1, initial=n))
-        new = np.minimum(new, new[new])
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
-def stars(nodes: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Edges (a, b) that connect exactly what ``linked`` connects: one fewer than each component."""
-    busy = np.flatnonzero(linked.any(1))
-    if not len(busy):
-        return np.zeros((0, 2), np.int64)
-    lab = labels(linked[np.ix_(busy, busy)])
-    own = nodes[busy]
-    moved = lab != np.arange(len(busy))
-    return np.stack([own[moved], own[lab[moved]]], 1)
-
-
-def compare_in_blocks(members: DataFrame, payload: str, link: Callable[[pd.Series, pd.Series | None], np.ndarray], block: int) -> DataFrame:
-    """Edges between the members (node, root, ``payload``) of each group that ``link`` links.
-
-    ``link(x, y)`` gives the boolean matrix of two blocks' payloads, or of one block with itself
-    (y is None). Groups of up to ``block`` members share tasks; larger groups are dealt into
-    blocks, and each pair of blocks is a task of its own. Tasks return spanning stars, not pairs.
+def join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of a[i] and b[i]; ``parent`` stays flat, roots are their trees' least."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
+def forest(nodes: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Edges (a, b) that connect what ``parent`` does: one fewer than each tree."""
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return np.stack([nodes[moved], nodes[parent[moved]]], 1)
+
+
+def compare_in_blocks(members: DataFrame, columns: list[str], one: Callable[[pd.DataFrame], np.ndarray], two: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block: int) -> DataFrame:
+    """Edges between the members (node, root, ``columns``) of each group ``root``.
+
+    Groups of up to ``block`` members share tasks, which ``one`` compares, sorted by root and node;
+    larger groups are dealt into blocks, and each pair of blocks is a task of its own, compared by
+    ``two``, each block alone by ``one``. Tasks return spanning edges, not pairs.
     """
     sizes = written(members.groupBy("root").agg(F.count("*").alias("n")), "block-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // block))
     at = members.join(sizes.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).drop("r")
-    few = at.where(F.col("n") <= block).select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("own"), "root", "node", payload)
+    few = at.where(F.col("n") <= block).select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("own"), "root", "node", *columns)
     many = at.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select(F.col("root").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "node", payload)
-
-    def one(nodes: np.ndarray, data: pd.Series) -> np.ndarray:
-        linked = link(data, None)
-        np.fill_diagonal(linked, False)
-        return stars(nodes, linked)
-
-    def two(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-        n, m = len(x), len(y)
-        linked = np.zeros((n + m, n + m), bool)
-        linked[:n, n:] = link(x[payload], y[payload])
-        linked[n:, :n] = linked[:n, n:].T
-        return stars(np.concatenate([x["node"].to_numpy(), y["node"].to_numpy()]), linked)
+    many = many.select(F.col("root").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "node", *columns)
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        if i < j:
-            found = [two(group[group["own"] == i], group[group["own"] == j])]
-        else:
-            group = group.sort_values(["root", "node"])
-            roots = group["root"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(roots)) + 1), len(roots)]
-            nodes = group["node"].to_numpy()
-            found = [one(nodes[lo:hi], group[payload].iloc[lo:hi]) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
-        edges = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        edges = two(group[group["own"] == i], group[group["own"] == j]) if i < j else one(group.sort_values(["root", "node"]))
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
     return few.unionByName(many).groupBy("g", "i", "j").applyInPandas(task, EDGE)
+
+
+def bounds(roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cuts = np.flatnonzero(np.diff(roots)) + 1
+    return zip([0, *cuts], [*cuts, len(roots)], strict=True)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import written
-from gaugeworks.llm.components import components
+from gaugeworks.llm.components import components, join_roots
 
 #: Allowance for rounding in the bounds; the join itself tests the cosine.
 SLACK = 1e-6
@@ -160,22 +160,6 @@ class Linker:
             yield lo + i[real], j[real]
 
 
-def join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of a[i] and b[i]; ``parent`` stays flat, roots are their trees' least."""
-    while len(a):
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-
-
 def join_cells(placed: DataFrame, axes: np.ndarray, threshold: float, block: int) -> DataFrame:
     """Per task (a pair of blocks of a cell): rows (class, partners, a, b): how many copies of
     other classes a class met, or an edge (a, b) of what the task connects."""

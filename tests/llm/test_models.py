@@ -282,7 +282,21 @@ def test_keys_meet_within_the_radius():
         row[at] += 1
     shared = (minhash.chunk_keys(x, 12, 22)[:, :] == minhash.chunk_keys(y, 12, 22)).any(1)
     assert shared.all()
-    assert [minhash.radius_for(85, 64), minhash.radius_for(80, 64)] == [22, 27]
+    assert [minhash.radius_for(85, 64), minhash.radius_for(80, 64)] == [23, 27]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_signatures_connect_as_all_pairs_do(spark, block):
+    """Symbols from small alphabets, so that buckets are large and mostly of unlike members."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 3, (160, 12), np.uint16)
+    x[100:140] = x[100]
+    x[100:140, 3] = np.arange(40)
+    rows = [(int(i) * 7, s.tobytes()) for i, s in enumerate(x)]
+    classes = spark.createDataFrame(rows, "class long, signature binary")
+    near = [(7 * a, 7 * b) for a in range(160) for b in range(a) if (x[a] != x[b]).sum() <= 3]
+    want = union_find({n for e in near for n in e}, near)
+    assert {r.node: r.root for r in minhash.similar_signatures(classes, 2, 3, block).collect()} == want
 
 
 def shingle_set(text):
