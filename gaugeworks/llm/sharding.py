@@ -3,7 +3,7 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours and a group of copies
 that outweighs a shard is still divided, at a doc_id. The passes over the data count exact bytes
 below candidate boundaries; only those counts (bounded by the number of probes) reach the driver.
-Once all splitters are within tolerance every row is exchanged once.
+Once all splitters are within tolerance every row is exchanged once, by ranges of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import forget, written
 
 LOWEST = -(2**63)
 
@@ -127,41 +127,40 @@ def find_splitters(keys: DataFrame, n_buckets: int, tolerance: float, probes_eac
     return Splitters(np.array([t.loh + a for a, _ in at], np.int64), np.array([t.lod + b for _, b in at], np.int64), np.array([s for _, s in cut]))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, bucket_bytes: int = 64 << 20, max_buckets: int = 4096, probes_each: int = 31) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, task_bytes: int = 64 << 20, probes_each: int = 31, broadcast_rows: int = 4_000_000) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, ...) with size, law, shard and slot.
 
     size: UTF-8 bytes of the text plus 16. Shards have near-equal sums of size; slots number a
-    shard's rows from 0 without gaps. A shard consists of several consecutive buckets when it is
-    larger than ``bucket_bytes`` (at most ``max_buckets`` in all), so no task sorts a whole shard.
+    shard's rows in key order from 0 without gaps. The exchange is by ranges of (shard, key) of
+    about ``task_bytes`` each, however large the shards are, so no task sorts more than that.
 
     Defined results: a null text counts 16 bytes and sorts as one text; a null doc_id sorts first;
     repeated rows (same text and id) are divided by share like any other weight; an empty table
     gives an empty result. Columns named size, law, shard or slot are replaced; other columns pass.
     """
     docs = docs.drop("size", "law", "shard", "slot")
-    spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     h, d = F.xxhash64("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     keys = written(docs.select(h.alias("h"), d.alias("d"), size.alias("bytes")), "shard-keys")
     total = keys.agg(F.sum("bytes")).first()[0] or 0
-    per_shard = max(1, min(-(-total // (n_shards * bucket_bytes)), max_buckets // n_shards))
-    cuts = find_splitters(keys, n_shards * per_shard, tolerance, probes_each)
+    cuts = find_splitters(keys, n_shards, tolerance, probes_each)
+    forget(keys)
 
-    @F.pandas_udf("long")
-    def bucket(h: pd.Series, d: pd.Series, u: pd.Series) -> pd.Series:
+    @F.pandas_udf("int")
+    def shard(h: pd.Series, d: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series(cuts.place(h.to_numpy(), d.to_numpy(), u.to_numpy()))
 
-    share = F.rand(17) if (cuts.share > 0).any() else F.lit(0.0)
-    placed = docs.withColumns({"size": size, "__gw_h": h, "__gw_d": d, "__gw_u": share})
-    placed = placed.withColumn("__gw_bucket", bucket("__gw_h", "__gw_d", "__gw_u"))
-    order = Window.partitionBy("__gw_bucket").orderBy("__gw_h", "__gw_d")
-    sorted_rows = written(placed.withColumn("__gw_pos", F.row_number().over(order).cast("long") - 1).drop("__gw_h", "__gw_d", "__gw_u"), "sharded")
-    held = {r[0]: r[1] for r in sorted_rows.groupBy("__gw_bucket").count().collect()}
-    first, rows = [], 0
-    for b in range(n_shards * per_shard):
-        rows = 0 if b % per_shard == 0 else rows
-        first.append((b, b // per_shard, rows))
-        rows += held.get(b, 0)
-    starts = F.broadcast(spark.createDataFrame(first, "__gw_bucket long, shard int, __gw_first long"))
-    out = sorted_rows.join(starts, "__gw_bucket")
-    return out.select(*docs.columns, "size", F.lit("bytes").alias("law"), "shard", (F.col("__gw_first") + F.col("__gw_pos")).alias("slot"))
+    placed = docs.withColumns({"size": size, "__gw_h": h, "__gw_d": d, "__gw_u": F.rand(17)})
+    placed = placed.withColumn("shard", shard("__gw_h", "__gw_d", "__gw_u"))
+    key = ["shard", "__gw_h", "__gw_d", "__gw_u"]
+    ranges = max(n_shards, -(-total // task_bytes))
+    ordered = placed.repartitionByRange(ranges, *key).sortWithinPartitions(*key).drop(*key[1:])
+    # The id of a row is its range's number and its place in it.
+    ordered = written(ordered.withColumn("__gw_id", F.monotonically_increasing_id()), "sharded")
+    ordered = ordered.withColumns({"__gw_range": F.shiftright("__gw_id", 33), "__gw_at": F.col("__gw_id").bitwiseAND((1 << 33) - 1)})
+    held = ordered.groupBy("shard", "__gw_range").agg(F.count("*").alias("n"), F.min("__gw_at").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__gw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(held.select("shard", "__gw_range", (before - F.col("least")).alias("__gw_first")), "shard-starts")
+    small = starts.count() <= broadcast_rows
+    out = ordered.join(F.broadcast(starts) if small else starts, ["shard", "__gw_range"])
+    return out.select(*docs.columns, "size", F.lit("bytes").alias("law"), "shard", (F.col("__gw_first") + F.col("__gw_at")).alias("slot"))
