@@ -45,14 +45,16 @@ def best_widths(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list
 
 
 def segments(docs: DataFrame, max_len: int) -> DataFrame:
-    """Documents cut into runs of at most ``max_len`` words: doc_id, segment, first_word, n_tokens.
+    """Documents cut into runs of at most ``max_len`` words: doc_id, segment, first_word, n_tokens
+    and __place, a hash that orders them; rows that agree in id and text differ in it by a seeded
+    draw, so however many there are they spread.
 
     A text without words is one segment of length 0.
     """
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("n"))
+    sized = docs.select("doc_id", n_words(F.col("text")).alias("n"), F.xxhash64("doc_id", "text", F.rand(29)).alias("place"))
     cut = sized.withColumn("segment", F.explode(F.expr(f"sequence(0L, greatest(n - 1, 0L) div {max_len})")))
     first = F.col("segment") * max_len
-    return cut.select("doc_id", "segment", first.alias("first_word"), F.least(F.col("n") - first, F.lit(max_len)).cast("int").alias("n_tokens"))
+    return cut.select("doc_id", "segment", first.alias("first_word"), F.least(F.col("n") - first, F.lit(max_len)).cast("int").alias("n_tokens"), F.xxhash64("place", "segment").alias("__place"))
 
 
 def pack(docs: DataFrame, max_len: int = 2048, n_buckets: int = 16, token_budget: int = 65536, part_rows: int = 65536) -> DataFrame:
@@ -74,12 +76,11 @@ def pack(docs: DataFrame, max_len: int = 2048, n_buckets: int = 16, token_budget
     n = sum(c for _, c in found)
     parts = max(1, -(-n // part_rows))
     width = F.coalesce(*(F.when(effective <= w, F.lit(w)) for w in widths))
-    order = F.xxhash64("doc_id", "segment")
-    cut = cut.withColumns({"width": width, "__order": order}).withColumn("__part", F.pmod("__order", F.lit(parts)))
+    cut = cut.withColumn("width", width).withColumn("__part", F.pmod("__place", F.lit(parts)))
     held = cut.groupBy("width", "__part").agg(F.count("*").alias("held"))
     before = F.sum("held").over(Window.partitionBy("width").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     held = held.select("width", "__part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("width", "__part").orderBy("__order", "doc_id", "segment", "n_tokens")) - 1
+    inside = F.row_number().over(Window.partitionBy("width", "__part").orderBy("__place", "doc_id", "segment", "n_tokens")) - 1
     cut = cut.withColumn("inside", inside).join(held, ["width", "__part"])
     number = F.col("before") + F.col("inside")
     room = F.greatest(F.floor(F.lit(token_budget) / F.col("width")), F.lit(1))
