@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 Every word has a sparse random index vector, a function of its spelling alone. A word's vector is
-its own index vector plus the sum of its neighbours' over the fitting texts; a document is the mean
-of its words' vectors. The network and its temperature are fitted on a bounded sample of labelled
-documents; every document is scored over its whole text, wherever its executor runs.
+its own index vector plus the sum of its neighbours' over all texts, in unit length; a document is the
+mean of its words' vectors. Contexts are counted in one pass over the whole corpus, into a table of
+fixed size. The network and its temperature are fitted on a bounded sample of labelled documents; every
+document is scored over its whole text, wherever its executor runs.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def shape(word: bytes) -> bytes:
 
     Shapes give rare words something in common. The leading zero byte keeps them apart from words.
     """
-    return b"\x00" + _RUN.sub(rb"\1", word[:64].translate(_KIND))[:8]
+    return b"\x00" + _RUN.sub(rb"\1", word.translate(_KIND))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,24 +121,92 @@ class Pooler:
         return out
 
 
-def context_table(texts: list[str], dim: int, window: int = 2) -> np.ndarray:
-    """Context vectors by random indexing, unit length: a row sums the index vectors of the words
-    within ``window`` places of the words that hash to it."""
-    table = np.zeros(ROWS * dim, np.float32)
-    for text in texts:
-        words = words_of(text)
-        for own in (words, [shape(w) for w in words]):
-            ids = {w: i for i, w in enumerate(dict.fromkeys(own))}
-            if not ids:
-                continue
-            rows, places, signs = index_entries(list(ids), dim)
-            at = np.fromiter(map(ids.__getitem__, own), np.int64, len(own))
-            for step in range(1, min(window, len(own) - 1) + 1):
-                for word, near in ((at[:-step], at[step:]), (at[step:], at[:-step])):
-                    np.add.at(table, (rows[word][:, None] * dim + places[near]).ravel(), signs[near].ravel())
-    table = table.reshape(ROWS, dim)
-    norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return table / np.maximum(norm, 1e-9)
+class Contexts:
+    """Context counts by random indexing: a row sums the index vectors of the words within
+    ``window`` places of the words that hash to it, and so for shapes. Sums are of whole numbers, so
+    no order of addition changes them."""
+
+    def __init__(self, dim: int, window: int = 2, limit: int = 1 << 17):
+        self.dim, self.window, self.limit = dim, window, limit
+        # One row more than the table's, for the gaps between texts.
+        self.table = np.zeros((ROWS + 1) * dim)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.shape_of = np.zeros(0, np.int64)
+        gap = np.full(1, ROWS), np.zeros((1, ENTRIES), np.int64), np.zeros((1, ENTRIES), np.float32)
+        self.words, self.shapes, self.shape_ids = gap, gap, {b"": 0}
+
+    def _grown(self, old: tuple, words: list[bytes]) -> tuple:
+        return tuple(np.concatenate(x) for x in zip(old, index_entries(words, self.dim), strict=True))
+
+    def add(self, texts: list[str | None]) -> None:
+        """Count the neighbours of all words of ``texts``."""
+        if len(self.ids) > self.limit:
+            self._forget()
+        flat: list[bytes] = []
+        gap = [b""] * self.window  # no word is empty
+        for text in texts:
+            flat += words_of(text)
+            flat += gap
+        ids = self.ids
+        ids.setdefault(b"", 0)
+        new = [w for w in dict.fromkeys(flat) if w not in ids]
+        if new:
+            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+            self.words = self._grown(self.words, new)
+            own = [shape(w) for w in new]
+            fresh = [x for x in dict.fromkeys(own) if x not in self.shape_ids]
+            if fresh:
+                self.shape_ids.update(zip(fresh, range(len(self.shape_ids), len(self.shape_ids) + len(fresh)), strict=True))
+                self.shapes = self._grown(self.shapes, fresh)
+            known = self.shape_of if len(self.shape_of) else np.zeros(1, np.int64)
+            self.shape_of = np.concatenate([known, np.array([self.shape_ids[x] for x in own], np.int64)])
+        at = np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat))
+        for tokens, (rows, places, signs) in ((at, self.words), (self.shape_of[at] if len(self.shape_of) else at, self.shapes)):
+            base = rows[tokens] * self.dim
+            for step in range(1, min(self.window, len(tokens) - 1) + 1):
+                for word, near in ((base[:-step], tokens[step:]), (base[step:], tokens[:-step])):
+                    for k in range(ENTRIES):
+                        np.add.at(self.table, word + places[near, k], signs[near, k])
+
+    def counts(self) -> np.ndarray:
+        return self.table[: ROWS * self.dim].reshape(ROWS, self.dim)
+
+
+def unit_rows(counts: np.ndarray) -> np.ndarray:
+    """Context vectors in unit length; rows without contexts stay zero."""
+    norm = np.linalg.norm(counts, axis=1, keepdims=True)
+    return (counts / np.maximum(norm, 1e-9)).astype(np.float32)
+
+
+def corpus_contexts(docs: DataFrame, dim: int, task_bytes: int = 256 << 20) -> np.ndarray:
+    """The context table of all texts of ``docs``.
+
+    A task sends one row per table row that it met, summed on the map side; tasks take several
+    partitions, about ``task_bytes`` of text, so what is sent stays a small part of the input. The
+    driver receives the table, of fixed size.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Contexts(dim)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for at in range(0, len(texts), 64):
+                own.add(texts[at : at + 64])
+        counts = own.counts()
+        met = np.flatnonzero(counts.any(1))
+        yield pd.DataFrame({"row": met, **{f"v{k}": counts[met, k] for k in range(dim)}})
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    columns = [f"v{k}" for k in range(dim)]
+    sums = docs.select("text").coalesce(tasks).mapInPandas(count, "row long, " + ", ".join(f"{c} double" for c in columns))
+    got = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    table = np.zeros((ROWS, dim))
+    table[got["row"].to_numpy(np.int64)] = got[columns].to_numpy(float)
+    return unit_rows(table)
 
 
 @dataclass
@@ -213,27 +282,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     """Fit on labelled rows that are not held out.
 
     At most ``max_rows`` documents in the order of a hash of their id, and of these as many whole
-    texts as fit ``max_bytes`` (none longer than a 64th of it): the only part that does not grow with the input. A document with
-    several labels counts as 1 if any is 1; null labels are left out. Without both classes the
-    score is the smoothed share of label 1 (0.5 without any row).
+    texts as fit ``max_bytes`` (none longer than a 64th of it): the only part that does not grow with
+    the input. Of rows that repeat an id the shortest text, then the least by hash, is taken; an id
+    with several labels counts as 1 if any is 1; null labels are left out. Without both classes the
+    score is the smoothed share of label 1 (0.5 without any row). Word vectors come from all texts.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
     own = own.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
     # The sample is drawn from the labels alone, so that no text is shuffled to meet them.
     drawn = F.broadcast(own.orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows))
-    rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("labelled"))
-    sized = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("place"))
-    total, ids = 0, set()
-    for r in sorted(sized.where(F.col("n") <= max_bytes // 64).limit(4 * max_rows).collect(), key=lambda r: (r.place, r.doc_id, r.n)):
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select("doc_id", "text", size.alias("n"), F.xxhash64("text").alias("h")).where(size <= max_bytes // 64)
+    rows = rows.join(drawn, F.col("doc_id") == F.col("labelled")).drop("labelled")
+    # One row per drawn id, so ``max_rows`` at most come to the driver.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("n", "h")).alias("x")).select("doc_id", "x.n", "x.h", F.xxhash64("doc_id").alias("place"))
+    total, picked = 0, []
+    for r in sorted(one.collect(), key=lambda r: (r.place, r.doc_id)):
         total += r.n
         if total > max_bytes:
             break
-        ids.add(r.doc_id)
-    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "picked long")
-    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 64)
-    got = sorted((r.doc_id, r.text or "", int(r.quality)) for r in rows.select("doc_id", "text", "quality").limit(4 * max_rows).collect())
+        picked.append((r.doc_id, r.n, r.h))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, n int, h long"))
+    got = rows.join(chosen, ["doc_id", "n", "h"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    got = sorted((r.doc_id, r.text or "", int(r.quality)) for r in got.collect())
     texts, y = [t for _, t, _ in got], np.array([q for _, _, q in got])
-    pooler = Pooler(context_table(texts, dim), dim)
+    pooler = Pooler(corpus_contexts(docs, dim), dim)
     x = pooler.vectors(texts) if texts else np.zeros((0, pooler.width), np.float32)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
