@@ -3,7 +3,8 @@
 Each call is joined with its result by a hash join on (conversation, call id), placed by
 topological level (the number of calls that must come before it, found by pointer doubling along
 ``after``), its arguments are checked against the tool's schema, and the pair is written as
-canonical JSON: keys in code point order, no spaces.
+canonical JSON: keys in the order of their UTF-16 code units (as RFC 8785 has it), no spaces, numbers
+without trailing zeros.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import written
 
 #: Schema types and what the engine calls the type of a parsed value.
-TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*"}
+TYPES = {"string": "STRING", "integer": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*"}
+
+#: tool -> {argument: (type, required) or (type, required, allowed values as JSON texts)}
+Schemas = dict[str, dict[str, tuple]]
 
 
 def quoted(text: Column) -> Column:
@@ -28,24 +32,40 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
+def _is(value: Column, kind: str) -> Column:
+    """Whether a parsed value has a schema type. An integer is a number without a fraction, however
+    it is written (1, 1.0, 1e3) and however long: JSON has no other notion of it."""
+    ok = F.schema_of_variant(value).rlike(f"^({TYPES[kind]})$")
+    if kind != "integer":
+        return ok
+    exact = F.try_variant_get(value, "$", "decimal(38,18)")
+    rest = F.when(exact.isNotNull(), exact % 1 == 0).otherwise(F.try_variant_get(value, "$", "double") % 1 == 0)
+    return ok & F.coalesce(rest, F.lit(False))
+
+
+def problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """What is wrong with a call: '' or codes joined by ';'.
 
-    ``schemas``: tool -> {argument: (type, required)}; bounded by the tools in use. Codes:
-    unknown_tool, not_an_object, missing:<argument>, type:<argument>.
+    ``schemas`` is bounded by the tools in use. Codes: unknown_tool, not_an_object,
+    missing:<argument>, type:<argument>, value:<argument> (not an allowed one), and after these
+    unexpected:<argument> for each argument that the schema doesn't name, in code point order.
     """
     parsed = F.try_parse_json(arguments)
     not_object = F.coalesce(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(True))
+    given = F.array_sort(F.map_keys(F.from_json(F.to_json(parsed), "map<string,string>")))
     by_tool = F.lit("unknown_tool")
     for tool, fields in schemas.items():
         found = []
-        for field, (kind, required) in sorted(fields.items()):
+        for field, (kind, required, *allowed) in sorted(fields.items()):
             value = F.try_variant_get(parsed, f"$.{field}", "variant")
-            type_ok = F.schema_of_variant(value).rlike(f"^({TYPES[kind]})$")
             absent = F.when(value.isNull(), F.lit(f"missing:{field}" if required else None).cast("string"))
-            found.append(F.coalesce(absent, F.when(value.isNotNull() & ~type_ok, F.lit(f"type:{field}"))))
-        wrong = F.when(not_object, F.lit("not_an_object")).otherwise(F.concat_ws(";", *found))
-        by_tool = F.when(name == tool, wrong).otherwise(by_tool)
+            wrong = F.when(value.isNotNull() & ~_is(value, kind), F.lit(f"type:{field}"))
+            other = F.when(value.isNotNull() & ~F.to_json(value).isin(*allowed[0]), F.lit(f"value:{field}")) if allowed else F.lit(None).cast("string")
+            found.append(F.coalesce(absent, wrong, other))
+        known = F.array(*(F.lit(f) for f in fields)).cast("array<string>")
+        more = F.transform(F.array_except(given, known), lambda x: F.concat(F.lit("unexpected:"), x))
+        listed = F.array_compact(F.concat(F.array(*found).cast("array<string>"), more))
+        by_tool = F.when(name == tool, F.when(not_object, F.lit("not_an_object")).otherwise(F.array_join(listed, ";"))).otherwise(by_tool)
     return by_tool
 
 
@@ -74,7 +94,7 @@ def levels(calls: DataFrame) -> DataFrame:
     return found.unionByName(open_rows.select("conv_id", "call_id", F.lit(None).cast("long").alias("level")))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row per call id, and per result id without a call.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (call id or null);
@@ -86,8 +106,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     Defined results: of several calls or results with one id the earliest turn counts (ties: the
     smallest row) and n_calls, n_results tell how many there were; rows without a call id cannot
     be linked: they count as calls or results of the id null of their conversation; arguments
-    that are not JSON are quoted as text; empty tables give empty results; extra columns are
-    ignored.
+    that are not JSON are quoted as text, those of any length are kept whole; integers beyond 64
+    bits are integers; empty tables give empty results; extra columns, also ones named like the
+    result's, are ignored.
     """
     key = ["conv_id", "call_id"]
     calls = calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("x"), F.count("*").alias("n_calls"))
