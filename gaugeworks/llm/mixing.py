@@ -9,7 +9,8 @@ A source's target, in whole words and one at least, is cut into as many equal bl
 slots, so that its slots together hold just the target, however coarse the schedule. A source that
 no point meets has one slot of its own after the others.
 
-Nothing is ordered in one task: positions are prefix sums in two levels (within a bucket of hash
+The schedule has about one slot per unit (a document), so blocks hold about an average document's
+words at any size of the corpus. No document is ordered in one task: positions are prefix sums in two levels (within a bucket of hash
 order, then over bucket totals), so a source with a third of all rows is many buckets.
 """
 
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import n_words, written
 
 GOLDEN = 0.6180339887498949
+#: frac(2**20 * golden ratio): slots are taken in two parts, so that points of the 2**40th are exact
+#: to ten digits like the first.
+GOLDEN_HIGH = 0.607787409740351
 #: Slots are numbered within runs of this many, then over the runs.
 RUN = 4096
 #: Cells by which a slot's point finds its source's interval.
@@ -76,8 +80,8 @@ def schedule(sources: DataFrame, block: int, total: int) -> DataFrame:
     """The slots: (slot, source_no, block), block = rank of the slot within its source."""
     spark = sources.sparkSession
     n_slots = -(-total // block)
-    point = F.col("slot") + 0.5
-    point = point * GOLDEN - F.floor(point * GOLDEN)
+    part = lambda x: x - F.floor(x)
+    point = part(part(F.shiftright("slot", 20) * GOLDEN_HIGH) + part((F.col("slot") % (1 << 20) + 0.5) * GOLDEN))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS))
     cells = sources.where(F.col("target") > 0).select("source_no", "from", "until", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.floor(F.col("until") * CELLS))).alias("cell"))
@@ -114,7 +118,7 @@ def _positions(sized: DataFrame, sources: DataFrame, few_sources: bool, seed: in
     return units.select("doc_id", "source", "source_no", "size", "copies", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int = 1 << 20, seed: int = 7, bucket_rows: int = 8192, broadcast_sources: int = 100_000) -> Mix:
+def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int | None = None, seed: int = 7, bucket_rows: int = 8192, broadcast_sources: int = 100_000) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source, ...).
 
     Defined results: null or wordless texts have size 0 and take nothing; a null source is a
@@ -126,7 +130,7 @@ def plan_mix(docs: DataFrame, max_repeats: int = 3, blocks: int = 1 << 20, seed:
     sources = written(source_targets(sized, max_repeats), "mix-sources")
     found = sources.agg(F.max("total").alias("total"), F.count("*").alias("n")).first()
     total, few = int(found.total or 0), found.n <= broadcast_sources
-    block = max(1, -(-total // blocks))
+    block = max(1, -(-total // (blocks or max(4096, sized.count()))))
     return Mix(_positions(sized, sources, few, seed, bucket_rows), sources, schedule(sources, block, total), block, few)
 
 
