@@ -131,10 +131,68 @@ def test_classifier_edge_cases(spark, docs, empty):  # noqa: F811
     assert quality.score(docs, quality.fit(docs, labels.where("quality = 1"))).where("score <= 0.5").count() == 0
 
 
-def test_pieces_and_vocabulary_resets_change_nothing():
+def texts_of_words():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"W{x}!" if x % 3 else f"w{x}" for x in rng.integers(0, 300, n)) for n in (0, 1, 50, 700)]
-    table = quality.context_table(texts, 16)
+    return [*texts, None, "a" * 100 + "1" * 70 + "Zz " * 3, "\u00e9t\u00e9 x x x"]
+
+
+def plain_contexts(texts, dim, window=2):
+    """Index vectors of neighbours, summed word by word."""
+    def index(word):
+        rows, places, signs = quality.index_entries([word], dim)
+        v = np.zeros(dim)
+        for p, s in zip(places[0], signs[0], strict=True):
+            v[p] += s
+        return int(rows[0]), v
+
+    table = np.zeros((quality.ROWS, dim))
+    for text in texts:
+        for own in (quality.words_of(text), [quality.shape(w) for w in quality.words_of(text)]):
+            for i, word in enumerate(own):
+                for j in range(max(0, i - window), min(len(own), i + window + 1)):
+                    if j != i:
+                        table[index(word)[0]] += index(own[j])[1]
+    return table, index
+
+
+def test_word_vectors_and_network_by_hand(spark):
+    texts, dim = texts_of_words(), 16
+    table, index = plain_contexts(texts, dim)
+    small = quality.Contexts(dim, limit=10)
+    for t in texts:
+        small.add([t])
+    whole = quality.Contexts(dim)
+    whole.add(texts)
+    assert np.array_equal(whole.counts(), table) and np.array_equal(small.counts(), table)
+    docs_ = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    unit = quality.corpus_contexts(docs_.repartition(3), dim)
+    assert np.array_equal(unit, quality.unit_rows(table))
+    pooled = quality.Pooler(unit, dim).vectors(texts)
+    for text, got in zip(texts, pooled, strict=True):
+        own = quality.words_of(text)
+        want = np.zeros(2 * dim + 4)
+        for kind, at in ((own, 0), ([quality.shape(w) for w in own], dim)):
+            for word in kind:
+                row, v = index(word)
+                want[at : at + dim] += (unit[row] + v) / len(own)
+        if own:
+            want[-4:] = math.log(1 + len(own)) / 10, sum(a == b for a, b in zip(own, own[1:])) / len(own), len(set(own)) / len(own), 1
+        assert np.allclose(got, want, atol=1e-5)
+    rng = np.random.default_rng(1)
+    net = quality.Network(*(rng.normal(size=x) for x in (36, 36, (36, 5), 5, 5)), 0.3, 1.7)
+    for x, p in zip(pooled, net.score(pooled), strict=True):
+        hidden = [math.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(36)) + net.b1[j]) for j in range(5)]
+        assert p == pytest.approx(1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + 0.3) / 1.7)))
+
+
+def test_a_shape_is_of_the_whole_word():
+    assert quality.shape(b"a" * 100 + b"1") == b"\x00a0" and quality.shape(b"a1" * 40) == b"\x00" + b"a0" * 40
+
+
+def test_pieces_and_vocabulary_resets_change_nothing():
+    texts = texts_of_words()
+    table = quality.unit_rows(plain_contexts(texts, 16)[0])
     whole, cut = quality.Pooler(table, 16).vectors(texts), quality.Pooler(table, 16, piece=37).vectors(texts)
     assert np.allclose(whole, cut, atol=1e-5) and not whole[0].any()
 

@@ -50,13 +50,16 @@ def test_a_hot_row_is_divided(spark):
     assert sum(per.values()) == 1000 and len(per) == 4 and min(per.values()) > 150
 
 
-def test_several_buckets_make_a_shard(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_many_ranges_make_a_shard(spark, limit):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 5).alias("text"))
-    got = sharding.shard_by_bytes(rows, 3, bucket_bytes=4096).collect()
+    got = sharding.shard_by_bytes(rows, 3, task_bytes=4096, broadcast_rows=limit).collect()
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
     assert sorted(slots) == [0, 1, 2] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    ordered = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert ordered == [r.doc_id for r in rows.orderBy(F.xxhash64("text"), "doc_id").collect()]
 
 
 def test_splitters_meet_their_targets(spark):
@@ -185,6 +188,42 @@ def test_batches_hold_all_words_within_budget(docs):
     assert pieces == want
 
 
+def test_rows_without_id_spread_over_parts(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    assert packing.segments(rows, 64).agg(F.count_distinct("__place")).first()[0] == 3000
+    got = packing.pack(rows, token_budget=30, part_rows=100).collect()
+    batches = defaultdict(list)
+    for r in got:
+        batches[r.batch].append(r.place)
+    assert len(got) == 3000 and all(sorted(b) == list(range(10)) for b in batches.values())
+
+
+def test_argument_rules(spark):
+    """Integers by value, unknown arguments, allowed values, and the order of keys."""
+    schema = {"f": {"n": ("integer", False), "x": ("number", False), "mode": ("string", False, ('"a"', '"b"')), "on": ("boolean", False)}}
+    cases = {
+        '{"n":1}': "", '{"n":1.0}': "", '{"n":1e3}': "", '{"n":1.5}': "type:n", '{"n":123456789012345678901234567890}': "", '{"n":"1"}': "type:n", '{"x":1}': "", '{"x":0.5}': "",
+        '{"mode":"b"}': "", '{"mode":"c"}': "value:mode", '{"z":1,"n":1.5,"a":null}': "type:n;unexpected:a;unexpected:z", "{}": "", "null": "not_an_object",
+    }
+    calls = spark.createDataFrame([(1, str(i), i, "f", c, None) for i, c in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {int(r.call_id): r.problems for r in chat.link_tool_calls(calls, results, schema).collect()}
+    assert got == dict(enumerate(cases.values()))
+    texts = spark.createDataFrame([('{"\ufffd":1,"\U0001f600":2,"b":{"z":1.50,"a":[]},"B":0}',)], "t string")
+    assert texts.select(chat.canonical(F.col("t"))).first()[0] == '{"B":0,"b":{"a":[],"z":1.5},"\U0001f600":2,"\ufffd":1}'
+
+
+def test_long_texts_and_clashing_names_in_chat(spark):
+    long = "é\"\\" * 400_000
+    calls = spark.createDataFrame([(1, "a", 0, "ask", json.dumps({"text": long, "words": 1}), None)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, "a", 1, long)], "conv_id long, call_id string, turn long, content string")
+    for c in ("json", "level", "problems", "n_calls", "n_results", "status", "rc", "x"):
+        calls, results = calls.withColumn(c, F.lit("clash")), results.withColumn(c, F.lit(7))
+    row = chat.link_tool_calls(calls, results, registry.CHAT_SCHEMAS).first()
+    assert json.loads(row.json)["arguments"]["text"] == long == json.loads(row.json)["result"]
+    assert (row.status, row.n_calls, row.n_results) == ("linked", 1, 1)
+
+
 def test_calls_meet_results(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "ask", '{"words": 2, "text": "x"}', None), (1, "b", 2, "ask", '{"text":"y","words":1}', "a"), (1, "c", 4, "ask", '{"text": 5, "words": 1}', "b"),
