@@ -190,10 +190,11 @@ class Level:
 
 
 def tree(n_chunks: int, final: int, fan: int) -> list[Level]:
-    """Levels until one group is left; the last has all ``final`` ranges."""
-    levels, groups, ranges = [], n_chunks, 1
+    """Levels until one group is left; the last has all ``final`` ranges. There are two at least, so
+    that a small corpus is counted as a large one is."""
+    levels, groups, ranges = [], max(n_chunks, fan + 1), 1
     while True:
-        groups, ranges = max(1, -(-groups // fan)), min(final, ranges * fan)
+        groups, ranges = -(-groups // fan), min(final, ranges * fan)
         if groups == 1:
             return [*levels, Level(1, final)]
         levels.append(Level(groups, ranges))
@@ -266,8 +267,7 @@ def _count(all_chunks: DataFrame, order: int, levels: list[Level], fan: int) ->
         # A merger (group, range) sent the next level several finer ranges: it takes all answers to them.
         own = own.where("kind = 'kept'").select("grp", "k", "rng", "sender", "tuning", "part", "at")
         answers = written(own.groupBy("grp", "k", "rng").cogroup(answers.groupBy("sender", "k", "part")).applyInPandas(answered, ANSWER), "lm-answers")
-    if len(merged) > 1:
-        forget(*merged)
+    forget(*merged)
     return answers.select("sender", "k", "part", "every", "apart"), distinct
 
 
