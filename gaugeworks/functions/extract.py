@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Where a reply states its score, in order of precedence. Group 1 is the number.
+# Where a reply states its score, in order of precedence. Group 1 is the number. Runs of
+# spaces and stars are taken possessively: nothing that follows could begin within them.
 SCORE_PATTERNS = (
     r'(?i)"score"\s*:\s*"?(-?\d*\.?\d+)',
-    r'(?i)\bscore\b\s*\**\s*[:=]\s*\**\s*"?(-?\d*\.?\d+)',
+    r'(?i)\bscore\b\s*+\**+\s*+[:=]\s*+\**+\s*+"?(-?\d*\.?\d+)',
     r'(?i)\bscore\b[^.\n]{0,40}?\bis\s+"?(-?\d*\.?\d+)',
     r'(?i)\bcriterion\b[^.\n]{0,40}?\bis\s+"?(-?\d*\.?\d+)',
 )
 # Where a reply states its verdict.
 ANSWER_PATTERNS = (
     r'(?i)"answer"\s*:\s*"?([AB])\b',
-    r'(?i)\banswer\b\s*\**\s*[:=]\s*\**\s*"?([AB])\b',
+    r'(?i)\banswer\b\s*+\**+\s*+[:=]\s*+\**+\s*+"?([AB])\b',
 )
 # Fixed value: a block of reasoning inside the content.
 THINK = r"(?s)<think>(.*?)(?:</think>|$)"
 
 
+#: White space by Unicode's notion. Fixed values.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
-    """Without white space at either end, by Unicode's notion of it."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, by Unicode's notion of it; linear in the text."""
+    return F.trim(text, F.lit(SPACES))
+
+
+def outermost_braces(text: Column) -> Column:
+    """From the first opening brace to the last closing one, null if they don't enclose anything."""
+    first, back = F.instr(text, "{"), F.instr(F.reverse(text), "}")
+    last = F.length(text) - back + 1
+    return F.when((first > 0) & (back > 0) & (last > first), text.substr(first, last - first + 1))
 
 
 def lenient_json(text: Column) -> Column:
@@ -37,8 +49,7 @@ def lenient_json(text: Column) -> Column:
     inner = F.try_element_at(parts, F.lit(2))
     fenced = F.when(F.size(parts) >= 3, stripped(F.when(F.instr(inner, "\n") > 0, F.regexp_replace(inner, r"(?s)^[^\n]*\n", "")).otherwise(inner)))
     searched = F.coalesce(fenced, whole)
-    braces = F.nullif(F.regexp_extract(searched, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(whole), F.try_parse_json(fenced), F.try_parse_json(braces))
+    return F.coalesce(F.try_parse_json(whole), F.try_parse_json(fenced), F.try_parse_json(outermost_braces(searched)))
 
 
 def json_object(text: Column) -> Column:

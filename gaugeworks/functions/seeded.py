@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.BooleanType())
 def coin(key: pd.Series) -> pd.Series:
-    """Whether the first number drawn with this seed exceeds one half."""
-    return key.map(lambda k: random.Random(k).random() > 0.5)
+    """Whether the first number drawn with this seed exceeds one half; a null key is the empty one
+    (without a seed the generator would take one from the system)."""
+    return key.map(lambda k: random.Random(k or "").random() > 0.5)
 
 
 def seeded_choice(options: list[str]):
@@ -21,6 +22,6 @@ def seeded_choice(options: list[str]):
 
     @F.pandas_udf(T.StringType())
     def choose(key: pd.Series) -> pd.Series:
-        return key.map(lambda k: random.Random(k).choice(ordered))
+        return key.map(lambda k: random.Random(k or "").choice(ordered))
 
     return choose

@@ -22,17 +22,23 @@ def judged(draws: DataFrame) -> DataFrame:
 def outcomes(draws: DataFrame, retries: int) -> DataFrame:
     """One row per cell when ``retries`` re-draws are allowed: state, attempt and draw history.
 
-    Results for fewer retries are a prefix of those for more: draws with attempt <= retries + 1.
     The winning draw is the first that is kept; a failure ends a cell and is no rejection.
     """
-    allowed = judged(draws).where(F.col("attempt") <= retries + 1)
-    per = allowed.groupBy("key").agg(
-        F.min(F.when(F.col("verdict").isin("kept", "failed"), F.col("attempt"))).alias("stop"), F.max("attempt").alias("last"),
-        F.array_sort(F.collect_list(F.struct("attempt", "verdict"))).alias("history"))  # bounded by the retries
-    at = F.coalesce("stop", "last")
-    ended = F.element_at(F.filter("history", lambda d: d.attempt == at), 1)["verdict"]
-    state = F.when(ended.isin("kept", "failed"), ended).otherwise("rejected")
-    return per.select("key", state.alias("state"), at.alias("attempt"), F.filter("history", lambda d: d.attempt <= at).alias("draws"))
+    return nested_outcomes(draws, [retries]).drop("retries")
+
+
+def nested_outcomes(draws: DataFrame, retries: list[int]) -> DataFrame:
+    """``outcomes`` for several numbers of re-draws from one pass over the draws: those for fewer are
+    a prefix of those for more (draws with attempt <= retries + 1)."""
+    allowed = judged(draws).where(F.col("attempt") <= max(retries) + 1)
+    per = allowed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("attempt", "verdict"))).alias("all"))  # bounded by the retries
+    per = per.withColumn("retries", F.explode(F.array(*(F.lit(r) for r in retries))))
+    per = per.withColumn("history", F.filter("all", lambda d: d.attempt <= F.col("retries") + 1)).where(F.size("history") > 0)
+    ends = F.filter("history", lambda d: d.verdict.isin("kept", "failed"))
+    last = F.coalesce(F.try_element_at(ends, F.lit(1)), F.element_at("history", -1))
+    per = per.withColumn("end", last)
+    state = F.when(F.col("end.verdict").isin("kept", "failed"), F.col("end.verdict")).otherwise("rejected")
+    return per.select("key", "retries", state.alias("state"), F.col("end.attempt").alias("attempt"), F.filter("history", lambda d: d.attempt <= F.col("end.attempt")).alias("draws"))
 
 
 def winning_draws(draws: DataFrame) -> DataFrame:
@@ -41,8 +47,9 @@ def winning_draws(draws: DataFrame) -> DataFrame:
     return won.groupBy("key").agg(F.min_by(F.struct("attempt", "pair_id"), "attempt").alias("w")).select("key", "w.*")
 
 
-def resolve_pairs(index: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kept cells with their pair, and the problems, matched by (key, attempt) and then by id.
+def resolve_pairs(index: DataFrame, files: DataFrame) -> DataFrame:
+    """Kept cells with their pair and problem, null for those that resolve; matched by (key,
+    attempt) and then by id, in one evaluation of both inputs.
 
     ``index``: key, state, pair_id, attempt; ``files``: key, attempt, id, readable.
     """
@@ -54,8 +61,7 @@ def resolve_pairs(index: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
         F.when(F.col("pair_id").isNull(), "kept without id").when(F.col("ids").isNull(), "missing file")
         .when(~F.col("readable"), "unreadable file").when(~F.array_contains("ids", F.col("pair_id")), "id not in file")
     )
-    met = met.withColumn("problem", problem)
-    return met.where("problem is null").select("key", "attempt", "pair_id"), met.where("problem is not null").select("key", "attempt", "pair_id", "problem")
+    return met.select("key", "attempt", "pair_id", problem.alias("problem"))
 
 
 def strata(cells: DataFrame, axes: tuple[str, ...] = ("criterion", "domain", "gap")) -> DataFrame:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def checked(rows: DataFrame, ok: Column, problem: Column) -> DataFrame:
+    """``rows``, with an error naming ``problem`` when any row that isn't ``ok`` is read. The guard is
+    a filter, so no selection of columns and no count can go round it."""
+    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+
+
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last written row of each key: an aggregation, so it combines before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("x")).select(*keys, "x.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; of new rows with one key the last by ``seq`` stays
+    (without it, the last in their own order)."""
+    order = seq or "__seq"
+    rows = new if seq else new.withColumn(order, F.monotonically_increasing_id())
+    last = latest(rows, keys, order).select(*new.columns)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def attach_answers(pairs: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
@@ -22,11 +32,8 @@ def attach_answers(pairs: DataFrame, answers: DataFrame, key: str = "id") -> Dat
     error when the result is read."""
     over = [c for c in answers.columns if c != key]
     joined = pairs.drop(*over).join(answers.withColumn("__found", F.lit(True)), key, "left")
-    checked = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("no answer for "), F.col(key).cast("string"))).cast("string"))
-    # The guard sits in a column that is read, or Catalyst would drop it.
-    first = over[0]
-    guarded = F.when(checked.isNull(), F.col(first))
-    return joined.withColumn(first, guarded).drop("__found")
+    told = F.concat(F.lit("no answer for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return checked(joined, F.col("__found").isNotNull(), told).drop("__found")
 
 
 def todo(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,4 +60,5 @@ def guarded_lookup(rows: DataFrame, catalogue: DataFrame, key: str) -> DataFrame
     """Rows with their catalogue entry; an unknown key is an error when the result is read."""
     known = catalogue.withColumn("__known", F.lit(True))
     joined = rows.join(known, key, "left")
-    return joined.withColumn(key, F.when(F.col("__known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unknown "), F.col(key).cast("string"))))).drop("__known")
+    told = F.concat(F.lit("unknown "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return checked(joined, F.col("__known").isNotNull(), told).drop("__known")

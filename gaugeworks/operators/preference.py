@@ -28,7 +28,8 @@ def assemble_runs(scores: DataFrame, pairs: DataFrame, n_runs: int = 3) -> DataF
         F.max(F.when(F.col("side") == 1, F.col("score"))).alias("score_1"),
         F.max(F.when(F.col("side") == 2, F.col("score"))).alias("score_2"),
     )
-    alive = sides.where("score_1 is not null or score_2 is not null").select("label").distinct()
+    # From the log itself: two of its columns, combined on the map side, not the sides once more.
+    alive = scores.where(F.col("score").isNotNull()).select("label").distinct()
     grid = task_grid(alive, pairs, n_runs)
     out = grid.join(sides, ["label", "id", "run"], "left")
     higher = higher_score(F.col("score_1"), F.col("score_2"))

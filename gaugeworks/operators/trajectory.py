@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.extract import stripped
@@ -30,13 +30,13 @@ def spoken_stats(turns: DataFrame, by: str) -> DataFrame:
 def tool_names_as_of(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Each result with the tool name of the latest earlier call of its id.
 
-    ``calls``: conv, index, call_id, name; ``results``: conv, index, call_id. An as-of join as an
-    equi-join on the id with the order as residual, then an aggregation that combines early.
+    ``calls``: conv, index, call_id, name; ``results``: conv, index, call_id, one row per result. The
+    union of both is read in order with the last name carried along: linear in the rows, however
+    many calls and results share an id (a conversation's, so a bounded group).
     """
-    earlier = calls.select("conv", "call_id", F.col("index").alias("called"), "name")
-    met = results.join(earlier, ["conv", "call_id"], "left")
-    name = F.max_by(F.when(F.col("called") < F.col("index"), F.col("name")), F.when(F.col("called") < F.col("index"), F.col("called")))
-    return met.groupBy("conv", "call_id", "index").agg(name.alias("name"))
+    every = calls.select("conv", "call_id", "index", "name", F.lit(1).alias("rank")).unionByName(results.select("conv", "call_id", "index", F.lit(None).cast("string").alias("name"), F.lit(0).alias("rank")))
+    order = Window.partitionBy("conv", "call_id").orderBy("index", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    return every.withColumn("name", F.last("name", True).over(order)).where("rank = 0").select("conv", "call_id", "index", "name")
 
 
 def is_retrieval(name: Column, error: Column) -> Column:

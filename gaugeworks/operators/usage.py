@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 SUMS = ("n_calls", "n_ok", "n_error", "prompt_tokens", "completion_tokens", "reasoning_tokens", "content_chars", "total_tokens", "service_s")
 
 
+#: Of the sketch that brackets ranks.
+ACCURACY = 10_000
+
+
 def total_tokens() -> Column:
     """Reasoning tokens are part of the completion."""
     return F.col("prompt_tokens") + F.col("completion_tokens")
@@ -16,14 +20,28 @@ def total_tokens() -> Column:
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per group, the value at index min(n - 1, int(p * n)) of the ascending sort.
 
-    Counts per distinct value are summed in order, so a group is never gathered as a list.
+    A sketch that combines before the shuffle (rank error at most 1 in ``ACCURACY``) brackets each
+    rank; exact counts below the bracket, and of the distinct values within, then settle it. So a
+    task orders a few thousandths of a group's values, not the group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
-    n = F.sum("c").over(Window.partitionBy(*by))
-    placed = counts.withColumns({"upto": upto, "n": n})
-    wanted = {k: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))) for k, p in shares.items()}
-    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > w, F.col(value))).alias(k) for k, w in wanted.items()))
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    margin = 3 / ACCURACY
+    ends = F.percentile_approx("v", F.array(*(F.lit(float(x)) for p in shares.values() for x in (max(0.0, p - margin), min(1.0, p + margin)))), F.lit(ACCURACY))
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), ends.alias("ends"))
+    cases = F.array(*(F.struct(F.lit(k).alias("k"), F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))).alias("rank"), F.col("ends")[2 * i].alias("lo"), F.col("ends")[2 * i + 1].alias("hi")) for i, (k, p) in enumerate(shares.items())))
+    found = found.select(*(F.col(c).alias(f"__{c}") for c in by), F.explode(cases).alias("x")).select(*(f"__{c}" for c in by), "x.*")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    # One row per group and share, so it is joined as the smaller side; groups are labels or roles.
+    met = rows.join(F.broadcast(found), same & (F.col("v") <= F.col("hi")))
+    at = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    keys = [*by, "k"]
+    counts = met.groupBy(*keys, "rank", at.alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
+    upto = counts.withColumn("upto", F.sum("c").over(order))
+    settled = upto.groupBy(*by).agg(*(F.min(F.when((F.col("k") == k) & (F.col("upto") > F.col("rank")) & F.col("v").isNotNull(), F.col("v"))).alias(k) for k in shares))
+    return settled
 
 
 def summarize(calls: DataFrame, by: list[str], wall_s: Column) -> DataFrame:
@@ -93,7 +111,7 @@ def chain_median(items: DataFrame) -> DataFrame:
     """Upper median, least and greatest non-zero service time of an item's chain of calls."""
     timed = items.where("service_s > 0")
     ends = timed.agg(F.min("service_s").alias("least_s"), F.max("service_s").alias("greatest_s"))
-    return nearest_rank(timed.withColumn("g", F.lit(1)), ["g"], "service_s", {"median_s": 0.5}).drop("g").crossJoin(ends)
+    return nearest_rank(timed, [], "service_s", {"median_s": 0.5}).crossJoin(ends)
 
 
 def breaker(calls: DataFrame, after: int) -> DataFrame:

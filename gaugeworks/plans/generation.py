@@ -16,8 +16,7 @@ def outcome_cells(t: Tables) -> DataFrame:
 
 
 def nested(t: Tables) -> DataFrame:
-    per = [cascade.outcomes(a.draws(t), r).groupBy("state").agg(F.count("*").alias("n")).withColumn("retries", F.lit(r)) for r in (0, 1, 2)]
-    return per[0].unionByName(per[1]).unionByName(per[2])
+    return cascade.nested_outcomes(a.draws(t), [0, 1, 2]).groupBy("state", "retries").agg(F.count("*").alias("n"))
 
 
 def grid(t: Tables) -> DataFrame:
@@ -40,8 +39,7 @@ def index_and_files(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def resolved(t: Tables) -> DataFrame:
-    good, problems = cascade.resolve_pairs(*index_and_files(t))
-    return good.withColumn("problem", F.lit(None).cast("string")).unionByName(problems)
+    return cascade.resolve_pairs(*index_and_files(t))
 
 
 def dry_run(t: Tables) -> DataFrame:
@@ -68,11 +66,11 @@ def slots(t: Tables) -> DataFrame:
 
 
 def sides(t: Tables) -> DataFrame:
-    """Suppliers as contexts: an order line is a trajectory, its number's parity the level."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).where("l_linenumber in (1, 2)")
-    level = F.when(F.col("l_linenumber") == 1, "bad").otherwise("ok")
-    rows = lines.select(F.col("l_orderkey").alias("key"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trajectory_id"), level.alias("level"), F.lit("bad").alias("worse_level"), F.lit("ok").alias("better_level"), (F.col("s") % 3).alias("context_key"))
-    return planning.join_sides(rows).groupBy("problem").agg(F.count("*").alias("n"))
+    """Suppliers as contexts: an order's odd lines are its worse trajectory, the even ones the better."""
+    lines = t.lineitem.groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("odd")).agg(F.min("l_suppkey").alias("s"))
+    level = F.when(F.col("odd") == 1, "bad").otherwise("ok")
+    rows = lines.select(F.col("l_orderkey").alias("key"), F.concat_ws("-", "l_orderkey", "odd").alias("trajectory_id"), level.alias("level"), F.lit("bad").alias("worse_level"), F.lit("ok").alias("better_level"), (F.col("s") % 3).alias("context_key"))
+    return planning.join_sides(rows)
 
 
 def roster(t: Tables) -> DataFrame:
@@ -84,7 +82,7 @@ def looked_up(t: Tables) -> DataFrame:
     """Cells with their pair's label: an unknown id would be an error, not a missing row."""
     answers = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("correct_response"))
     dataset = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("criterion"), F.lit(0).alias("correct_response"))
-    return keyed.attach_answers(dataset, answers).groupBy("criterion", "correct_response").agg(F.count("*").alias("n"))
+    return keyed.attach_answers(dataset, answers)
 
 
 QUERIES = {
@@ -142,13 +140,13 @@ QUERIES = {
     ),
     "side_join": (
         sides,
-        """with l as (select l_orderkey k, l_linenumber n, min(l_suppkey) % 3 s from lineitem where l_linenumber in (1, 2) group by l_orderkey, l_linenumber), p as (select k, max(s) filter (n = 1) a, max(s) filter (n = 2) b from l group by k)
-           select case when a is null or b is null then 'incomplete' when a <> b then 'context differs' end problem, count(*) n from p group by 1""",
+        """with l as (select l_orderkey k, l_linenumber % 2 n, min(l_suppkey) % 3 s from lineitem group by 1, 2), p as (select k, max(s) filter (n = 1) a, max(s) filter (n = 0) b from l group by k)
+           select k as key, case when a is not null then k || '-1' end worse, case when b is not null then k || '-0' end better, case when a is null or b is null then 'incomplete' when a <> b then 'context differs' end problem from p""",
     ),
     "roster_resolution": (
         roster,
         """with r as (select 'eval' || s_suppkey label, list_extract(['openai','vertex','local'], cast(s_nationkey % 3 + 1 as int)) provider, s_suppkey % 2 = 0 via_gateway from supplier)
            select *, case when provider = 'local' then 'run' when via_gateway then 'rerouted' else 'dropped' end status, case when provider = 'local' then '' when via_gateway then 'via gateway-1' else 'no credential for ' || provider end note from r""",
     ),
-    "attach_answers": (looked_up, "select o_orderstatus criterion, cast(o_orderkey % 2 + 1 as int) correct_response, count(*) n from orders group by 1, 2"),
+    "attach_answers": (looked_up, "select o_orderkey id, o_orderstatus criterion, cast(o_orderkey % 2 + 1 as int) correct_response from orders"),
 }

@@ -53,7 +53,7 @@ def files(t: Tables) -> DataFrame:
 
 
 def problems(t: Tables) -> DataFrame:
-    found = cascade.resolve_pairs(*index_and_files(t))[1]
+    found = cascade.resolve_pairs(*index_and_files(t)).where("problem is not null")
     return reporting.listed_problems(found).select("key", "problem", "n_problems")
 
 
@@ -77,9 +77,10 @@ def context_pairs(t: Tables) -> DataFrame:
 
 def retrieved(t: Tables) -> DataFrame:
     """Documents listed as a retrieval tool would, every fifth without ids."""
-    listing = F.concat(F.lit("1. Title "), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, "\n").otherwise(F.concat(F.lit("\n   ID: d"), F.col("doc_id"), F.lit("\n   Score: 0."), F.col("doc_id") % 10)), F.lit("\n   Content: "), F.substring_index("text", "\n", 1))
+    listing = F.concat(F.lit("1. Title "), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, "\n").otherwise(F.concat(F.lit("\n   ID: d"), F.col("doc_id"), F.lit("\n   Score: 0."), F.col("doc_id") % 10)), F.lit("\n   Content: "), F.col("text"))
     r = t.documents.select("doc_id", extract.retrieved_documents(listing).alias("r"))
-    return r.select("doc_id", F.size("r.docs").alias("n"), F.try_element_at("r.docs", F.lit(1))["doc_id"].alias("first_id"), F.try_element_at("r.docs", F.lit(1))["score"].alias("score"))
+    first = F.try_element_at("r.docs", F.lit(1))
+    return r.select("doc_id", F.size("r.docs").alias("n"), first["doc_id"].alias("first_id"), first["title"].alias("title"), first["score"].alias("score"), F.md5(F.regexp_replace(first["content"], r"[^\x21-\x7E]", "")).alias("content"))
 
 
 def prompts(t: Tables) -> DataFrame:
@@ -161,7 +162,16 @@ QUERIES = {
     ),
     "document_order": (doc_order, "select conv, doc_id, cast(row_number() over (partition by conv order by i, doc_id) as int) place from (select user_id conv, event_type doc_id, min(event_id) i from events group by all)"),
     "context_key": (context_pairs, "select p_brand, count(distinct p_type) contexts from part group by p_brand"),
-    "retrieved_documents": (retrieved, "select doc_id, case when doc_id % 5 = 0 then 0 else 1 end n, case when doc_id % 5 <> 0 then 'd' || doc_id end first_id, case when doc_id % 5 <> 0 then (doc_id % 10) / 10.0e0 end score from documents"),
+    # A text that has numbered lines or ID lines of its own has no SQL form: the blocks are then the parser's.
+    # Here the text is the last field of the one block unless such a line follows, which the twin looks for.
+    "retrieved_documents": (
+        retrieved,
+        r"""with d as (select *, '1. Title ' || doc_id || case when doc_id % 5 = 0 then chr(10) else chr(10) || '   ID: d' || doc_id || chr(10) || '   Score: 0.' || (doc_id % 10) end || chr(10) || '   Content: ' || text listing from documents),
+            b as (select doc_id, unnest(list_filter(string_split(regexp_replace(listing, '(^|\n)([ \t]*\d+\.)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '(^|\n)[ \t]*ID:[ \t]*\S'))) block, generate_subscripts(list_filter(string_split(regexp_replace(listing, '(^|\n)([ \t]*\d+\.)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '(^|\n)[ \t]*ID:[ \t]*\S')), 1) i from d)
+            select d.doc_id, cast(count(i) as int) n, nullif(max(regexp_extract(block, '(^|\n)[ \t]*ID:[ \t]*(\S+)', 2)) filter (i = 1), '') first_id, max(trim(regexp_extract(block, '^[ \t]*\d+\.[ \t]*([^\n]*)', 1))) filter (i = 1) title,
+            max(try_cast(regexp_extract(block, '(^|\n)[ \t]*Score:[ \t]*([-\d.eE+]+)', 2) as double)) filter (i = 1) score, max(md5(regexp_replace(regexp_extract(block, '(?s)\n[ \t]*Content:[ \t]*(.*)', 1), '[^\x21-\x7E]', '', 'g'))) filter (i = 1) content
+            from d left join b using (doc_id) group by d.doc_id""",
+    ),
     "prompts": (
         prompts,
         """with n as (select chr(10) || chr(10) || '## ' h, chr(10) b)

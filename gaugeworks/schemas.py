@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names of fields in the files that the model reads and writes. Fixed values.
 PAIR = "schema_version string, id string, criterion_name string, criterion_description string, positive_hint string, negative_hint string, prompt string, response_1 string, response_2 string, correct_response int, group_id string, levels array<string>, agent_1 string, agent_2 string, context struct<domain:string,task_id:string,policy:string,task_purpose:string,user_persona:string,user_instructions:string>"
 BLIND = ("id", "criterion_name", "criterion_description", "prompt", "response_1", "response_2", "schema_version", "context")
 #: What a blind record keeps of the context. Fixed values.
@@ -10,6 +11,8 @@ ANSWER = ("id", "correct_response", "levels", "positive_hint", "negative_hint",
 ANSWERS = "id string, correct_response int, levels array<string>"
 CALL = "model string, role string, label string, item_id string, attempt int, prompt_tokens bigint, completion_tokens bigint, reasoning_tokens bigint, reasoning_source string, content_chars bigint, reasoning_chars bigint, latency_s double, ok boolean, error string"
 SCORE_CALL = f"label string, id string, key string, run int, score double, usage struct<{', '.join(f'{n}:{t}' for n, t in (c.split(' ') for c in CALL.split(', ')))}>"
+#: A line of the log as ``append_log`` writes it: with the append that it belongs to and its row there.
+LOGGED_CALL = f"{SCORE_CALL}, append string, row bigint"
 ANNOTATION = "id string, criterion_name string, judge_preference int, confidence int"
 VOTE = "id string, judge string, model string, criterion_name string, group_key string, side int, a_was int, attempts int, reasoning string"
 INDEX = "key string, domain string, criterion string, task_index int, task_id string, gap array<string>, agent string, state string, phase string, pair_id string, detail string, attempt int"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks import schemas
-from gaugeworks.operators.keyed import attach_answers, guarded_lookup, latest
+from gaugeworks.operators.keyed import attach_answers, checked, guarded_lookup, latest
 
 #: Endings of files that stand beside trajectories and are none. Fixed values.
 BOOKKEEPING = (
@@ -46,9 +46,19 @@ def labelled_pairs(spark: SparkSession, dataset: str, answers: str | None = None
 
 
 def call_log(spark: SparkSession, path: str) -> DataFrame:
-    """The append-only log; blank and half-written lines are dropped. ``seq`` orders rows of a file."""
-    rows = spark.read.schema(f"{schemas.SCORE_CALL}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id()).where("_bad is null and id is not null").drop("_bad")
+    """The append-only log; blank and half-written lines are dropped. ``seq`` orders rows as they
+    were appended: by append, then row; lines that no ``append_log`` wrote come first, by file."""
+    rows = spark.read.schema(f"{schemas.LOGGED_CALL}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.withColumn("seq", log_order()).where("_bad is null and id is not null").drop("_bad", "append", "row")
+
+
+def log_order(scanned: bool = True) -> Column:
+    """struct(append, file, split, row): the place of a line in the log. A stream can't number rows
+    (``scanned`` false): there, lines that no ``append_log`` wrote are ordered by file and split."""
+    at = F.coalesce("row", F.monotonically_increasing_id() if scanned else F.lit(0).cast("long"))
+    file = F.when(F.col("append").isNull(), F.col("_metadata.file_name")).otherwise("")
+    split = F.when(F.col("append").isNull(), F.col("_metadata.file_block_start")).otherwise(0)
+    return F.struct(F.coalesce("append", F.lit("")).alias("append"), file.alias("file"), split.alias("split"), at.alias("row"))
 
 
 def log_progress(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,10 +72,11 @@ def _name() -> Column:
 
 
 def pair_files(spark: SparkSession, root: str, schema: str = schemas.PAIR) -> DataFrame:
-    """Pairs of <root>/pairs and <root>, with the file's name; of a name in both, pairs/ wins."""
+    """Pairs of <root>/pairs and <root>, with the file's name and the position, which ascends within
+    a file; of a name in both, pairs/ wins."""
     frames = [f for f in (_glob(spark, f"{root}/{d}*.pairs.json", schema, rank) for rank, d in enumerate(("pairs/", ""))) if f is not None]
     if not frames:
-        return spark.createDataFrame([], f"{schema}, file string")
+        return spark.createDataFrame([], f"{schema}, file string, position bigint")
     every = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     best = every.groupBy("file").agg(F.min("__rank").alias("__best"))
     return every.join(best, "file").where(F.col("__rank") == F.col("__best")).drop("__rank", "__best")
@@ -78,7 +89,7 @@ def _glob(spark: SparkSession, pattern: str, schema: str, rank: int) -> DataFram
         if "PATH_NOT_FOUND" in str(missing):
             return None
         raise
-    return rows.select("*", _name().alias("file"), F.lit(rank).alias("__rank"))
+    return rows.select("*", _name().alias("file"), F.monotonically_increasing_id().alias("position"), F.lit(rank).alias("__rank"))
 
 
 def draw_of_file(file: Column) -> tuple[Column, Column]:
@@ -95,7 +106,7 @@ def cell_of_file(file: Column) -> Column:
 def point_lookup(pairs: DataFrame, key: str, attempt: int) -> DataFrame:
     """One cell's draw: the first record of its file."""
     own_key, own_attempt = draw_of_file(F.col("file"))
-    return pairs.where((own_key == key) & (own_attempt == attempt)).limit(1)
+    return pairs.where((own_key == key) & (own_attempt == attempt)).orderBy("position").limit(1).drop("position")
 
 
 def trajectories(spark: SparkSession, root: str) -> DataFrame:
@@ -106,7 +117,7 @@ def trajectories(spark: SparkSession, root: str) -> DataFrame:
         if found is not None:
             for ending in BOOKKEEPING:
                 found = found.where(~F.col("file").endswith(ending))
-            found = found.drop("__rank")
+            found = found.drop("__rank", "position")
             if at == root or not found.isEmpty():
                 return found
     return spark.createDataFrame([], f"{schemas.TRAJECTORY}, file string")
@@ -161,7 +172,7 @@ def criteria(spark: SparkSession, path: str) -> DataFrame:
     rows = json_array(spark, path, schemas.CRITERION)
     counted = rows.groupBy("name").agg(F.max("description").alias("description"), F.count("*").alias("n"))
     bad = F.col("name").isNull() | (F.trim(F.coalesce("description", F.lit(""))) == "") | (F.col("n") > 1)
-    return counted.select(F.when(bad, F.raise_error(F.concat(F.lit("bad criterion "), F.coalesce("name", F.lit("?"))))).otherwise(F.col("name")).alias("name"), "description")
+    return checked(counted, ~bad, F.concat(F.lit("bad criterion "), F.coalesce("name", F.lit("?")))).select("name", "description")
 
 
 def strict_config(given: dict[str, Any], defaults: dict[str, Any]) -> dict[str, Any]:
@@ -211,6 +222,8 @@ def live_scores(tasks: DataFrame, make: Callable[[], Scorer]) -> DataFrame:
     return tasks.mapInPandas(run, f"label string, id {ids}, side int, run int, score double, error string, transient boolean")
 
 
-def replay(log: dict[tuple[str, str], float]) -> Callable[[], Scorer]:
-    """A scorer that answers from saved (label, response) scores."""
-    return lambda: lambda label, prompt, response: log.get((label, response))
+def replayed(tasks: DataFrame, log: DataFrame) -> DataFrame:
+    """``tasks`` with the last logged score of their (label, response), null where there is none: a
+    join, so a log of any size is replayed without being shipped to every task."""
+    last = log.groupBy("label", "response").agg(F.max_by("score", "seq").alias("score"))
+    return tasks.join(last, ["label", "response"], "left").select("label", "id", "side", "run", "score")

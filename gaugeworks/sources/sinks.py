@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +19,62 @@ def save(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Each task appends a file of its own, so no lock is needed."""
-    df.write.mode("append").json(path)
+    """Each task appends a file of its own, so no lock is needed; every line carries the time of its
+    append and its row there, which is the log's order whatever the files' names and sizes."""
+    append = F.lit(f"{time.time_ns():020d}-{uuid.uuid4().hex}")
+    df.withColumns({"append": append, "row": F.monotonically_increasing_id()}).write.mode("append").json(path)
+
+
+POINTER = "CURRENT"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file context and the path as the session's file systems see them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(conf).makeQualified(at)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf), at
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then move into place: a reader sees the old or the new relation.
+    """Write a new version of the relation at ``path`` and point to it.
 
-    ``df`` may read ``path`` itself.
+    Versions are folders; a file names the current one and is renamed over its predecessor, which is
+    one step: a reader finds the old or the new version, never none, and a writer that is killed
+    leaves the old one. The last version but one stays for readers who found it; older ones go.
+    ``df`` may read the relation itself.
     """
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    before = current(spark, path)
+    df.write.parquet(f"{path}/{version}")
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = target.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{fresh}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(source, target)
-    fs.delete(old, True)
+    files, root = _hadoop(spark, path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(root, f"{POINTER}.{version}"), jvm.org.apache.hadoop.fs.Path(root, POINTER)
+    out = fs.create(fresh, True)
+    out.writeBytes(version)
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files.rename(fresh, pointer, over)
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in (version, before) and name < version:
+            fs.delete(entry.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that ``path`` points to, if any."""
+    rows = []
+    if exists(spark, f"{path}/{POINTER}"):
+        rows = spark.read.option("recursiveFileLookup", True).text(f"{path}/{POINTER}").collect()
+    return rows[0].value if rows else None
+
+
+def relation(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a relation that ``replace`` or ``put`` wrote."""
+    return spark.read.parquet(f"{path}/{current(spark, path)}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,8 +83,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def put(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Upsert by key into a parquet relation; it is created if missing."""
-    replace(upsert(spark.read.parquet(path), new, keys) if exists(spark, path) else new, path)
+    """Upsert by key into a relation; it is created if missing, and holds one row per key."""
+    old = relation(spark, path) if current(spark, path) else new.limit(0)
+    replace(upsert(old, new, keys), path)
 
 
 def blind(pairs: DataFrame) -> DataFrame:
@@ -71,7 +108,7 @@ def split_dataset(pairs: DataFrame, dataset: str, answers: str) -> None:
 
 def concat_pairs(spark: SparkSession, root: str, path: str) -> None:
     """All readable pair files as one relation; unreadable records are left out."""
-    save(pair_files(spark, root).where("id is not null").drop("file"), path)
+    save(pair_files(spark, root).where("id is not null").drop("file", "position"), path)
 
 
 def put_accounting(rows: DataFrame, run_id: str, path: str) -> None:

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks import schemas
+from gaugeworks.sources.readers import log_order
 
 
 def call_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Lines appended under ``path``; those that are half written are dropped."""
-    rows = spark.readStream.schema(f"{schemas.SCORE_CALL}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files_per_batch).json(path)
-    return rows.where("_bad is null and id is not null").drop("_bad")
+    rows = spark.readStream.schema(f"{schemas.LOGGED_CALL}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files_per_batch).json(path)
+    return rows.withColumn("seq", log_order(scanned=False)).where("_bad is null and id is not null").drop("_bad", "append", "row")
 
 
-def first_scores(calls: DataFrame) -> DataFrame:
-    """The first score of each task. The log has no event time, so the state keeps every task: it is
-    as large as the grid of tasks, which is known beforehand."""
-    return calls.where("score is not null").dropDuplicates(["label", "id", "key", "run"])
+def last_scores(calls: DataFrame) -> DataFrame:
+    """The last score of each task in the log's order, as the batch reader has it, for an update or
+    complete-mode sink. The log has no event time, so the state keeps every task: it is as large as
+    the grid of tasks, which is known beforehand."""
+    return calls.where("score is not null").groupBy("label", "id", "key", "run").agg(F.max_by("score", "seq").alias("score"))
 
 
 def running_progress(calls: DataFrame) -> DataFrame:

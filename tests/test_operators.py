@@ -77,6 +77,11 @@ def test_split_votes_have_no_majority(spark):
 def test_nearest_rank(spark):
     rows = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "v double").withColumn("g", F.lit(1))
     assert usage.nearest_rank(rows, ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()[1:] == (3.0, 4.0)
+    many = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 == 0, 7.25).otherwise(F.expr("exp(pmod(hash(id), 1000003) / 50000.0)")).alias("v"))
+    own = {g: sorted(r.v for r in many.where(F.col("g") == g).collect()) for g in range(3)}
+    for r in usage.nearest_rank(many, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect():
+        n = len(own[r.g])
+        assert [r.p0, r.p50, r.p95, r.p100] == [own[r.g][min(n - 1, int(p * n))] for p in (0, 0.5, 0.95, 1)]
 
 
 def test_reasoning_source_of_failed_and_mixed(spark):
@@ -114,6 +119,12 @@ def test_missing_answer_is_an_error(spark):
     with pytest.raises(Exception, match="no answer for 2"):
         keyed.attach_answers(pairs, answers).collect()
     assert keyed.attach_answers(pairs.limit(1), answers).first().correct_response == 1
+    labelled = keyed.attach_answers(pairs.withColumn("c", F.lit("x")), answers.withColumn("more", F.lit(1)))
+    for read in (lambda: labelled.count(), lambda: labelled.groupBy("c").count().collect(), lambda: labelled.select("more").collect()):
+        with pytest.raises(Exception, match="no answer for 2"):
+            read()
+    with pytest.raises(Exception, match="unknown 2"):
+        keyed.guarded_lookup(pairs, answers, "id").count()
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -135,8 +146,22 @@ def test_call_log_survives_half_a_line(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text("\n".join([json.dumps(ok), json.dumps(ok | {"score": 0.7}), "", json.dumps(ok | {"id": "2", "score": None}), '{"label": "l", "id'])  + "\n")
     done, records = readers.log_progress(readers.call_log(spark, str(tmp_path)))
     assert [(r.id, r.score) for r in done.collect()] == [("1", 0.7)] and records.count() == 3
-    query = stream.run_once(stream.first_scores(stream.call_stream(spark, str(tmp_path))), "scores", "append")
-    assert spark.table("scores").count() == 1 and query.exception() is None
+    query = stream.run_once(stream.last_scores(stream.call_stream(spark, str(tmp_path))), "scores", "complete")
+    assert [r.id for r in spark.table("scores").collect()] == ["1"] and query.exception() is None
+
+
+def test_log_order_is_that_of_appends(spark, tmp_path):
+    """Later appends win, whatever the size and names of their files; in the stream as in the batch."""
+    row = lambda score, id: ("l", id, "k", 0, score)
+    schema = "label string, id string, key string, run int, score double"
+    path = f"{tmp_path}/log"
+    for rows in ([row(0.1, "1")], [row(0.5, "1")] * 200 + [row(0.9, "1")] + [row(0.3, str(i)) for i in range(2, 300)], [row(None, "1"), row(0.4, "2")]):
+        sinks.append_log(spark.createDataFrame(rows, schema).coalesce(1), path)
+    done, _ = readers.log_progress(readers.call_log(spark, path))
+    got = {r.id: r.score for r in done.collect()}
+    assert (got["1"], got["2"], got["3"], len(got)) == (0.9, 0.4, 0.3, 299)
+    stream.run_once(stream.last_scores(stream.call_stream(spark, path, 1)), "last", "complete")
+    assert {r.id: r.score for r in spark.table("last").collect()} == got
 
 
 def test_pair_files_prefer_the_subfolder(spark, tmp_path):
@@ -148,6 +173,8 @@ def test_pair_files_prefer_the_subfolder(spark, tmp_path):
     key, attempt = readers.draw_of_file(F.col("file"))
     assert {(r.id, r.k, r.a, r.c) for r in rows.select("id", key.alias("k"), attempt.alias("a"), readers.cell_of_file(F.col("file")).alias("c")).collect()} == {("sub", "d.c.t1", 2, "d.c.t1"), ("only", "d.c.t2", 1, "d.c.t2")}
     assert readers.point_lookup(rows, "d.c.t1", 2).first().id == "sub"
+    (tmp_path / "d.c.t3.pairs.json").write_text(json.dumps([{"id": f"{i}"} for i in range(9, 0, -1)]))
+    assert readers.point_lookup(readers.pair_files(spark, str(tmp_path)).repartition(5), "d.c.t3", 1).first().id == "9"
     assert readers.or_empty(spark, str(tmp_path / "none.json"), schemas.VOTE).count() == 0
 
 
@@ -155,7 +182,12 @@ def test_upsert_and_replace(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.put(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
     sinks.put(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"])
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    old = sinks.relation(spark, path)
+    assert {(r.k, r.v) for r in old.collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    sinks.put(spark, spark.createDataFrame([(3, "e"), (4, "x"), (3, "f")], "k int, v string").coalesce(1), path, ["k"])
+    assert {(r.k, r.v) for r in sinks.relation(spark, path).collect()} == {(1, "a"), (2, "c"), (3, "f"), (4, "x")}
+    # A reader that found the version before still can read it; older ones are gone.
+    assert old.count() == 3 and len(list((tmp_path / "t").glob("v-*"))) == 2
 
 
 def test_live_scores_record_failures(spark):
@@ -199,9 +231,9 @@ def test_accounting_of_killed_runs(spark, tmp_path):
 def test_usage_is_assigned_not_added(spark, tmp_path):
     path = str(tmp_path / "art")
     rows = spark.createDataFrame([("a", 7), ("b", 1)], "item_id string, tokens long")
-    sinks.save(rows, path, "parquet")
-    sinks.publish_stage_usage(spark.read.parquet(path), spark.createDataFrame([("a", 9)], "item_id string, tokens long"), path)
-    assert {(r.item_id, r.tokens) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", None)}
+    sinks.replace(rows, path)
+    sinks.publish_stage_usage(sinks.relation(spark, path), spark.createDataFrame([("a", 9)], "item_id string, tokens long"), path)
+    assert {(r.item_id, r.tokens) for r in sinks.relation(spark, path).collect()} == {("a", 9), ("b", None)}
     sinks.dump_usage(rows, rows.agg(F.sum("tokens").alias("tokens")), str(tmp_path / "dump"))
     assert spark.read.json(str(tmp_path / "dump/summary")).first().tokens == 8
 
