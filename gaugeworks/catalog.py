@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.plans import accounting, evaluation, generation, reports, texts
+from gaugeworks.plans import accounting, evaluation, files, generation, reports, texts
 from gaugeworks.plans.adapters import Tables
 
-MODULES = (evaluation, accounting, generation, reports, texts)
+MODULES = (evaluation, accounting, generation, reports, texts, files)
 
 
 def _bound(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -137,3 +137,20 @@ def baseline_instruction(criteria: DataFrame, level: str) -> DataFrame:
     """Each criterion's instruction for a level; one without is an error when read."""
     text = F.try_element_at("instructions", F.lit(level))
     return criteria.select("name", F.coalesce(text, F.raise_error(F.concat(F.lit(f"no {level} instruction for "), F.col("name")))).alias("instruction"))
+
+
+def table_lines(rows: DataFrame, spec: list[tuple[str, int, int | None]], order: list[Column]) -> DataFrame:
+    """``rows`` as lines of a text table, in order: place (0 is the head) and line.
+
+    ``spec``: column, width, and digits after the point for numbers (None for text, which is aligned
+    left); a missing value is a dash. Tables are reports of a roster, so they are ordered in one task.
+    """
+    def cell(name: str, width: int, digits: int | None) -> Column:
+        shown = F.col(name).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(name).cast("double"))
+        shown = F.coalesce(F.when(F.col(name).isNotNull(), shown), F.lit("-"))
+        return F.rpad(shown, width, " ") if digits is None else F.lpad(shown, width, " ")
+
+    head = "  ".join(n.ljust(w)[:w] if d is None else n.rjust(w)[:w] for n, w, d in spec)
+    body = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    body = body.select("place", F.rtrim(F.concat_ws("  ", *(cell(*x) for x in spec))).alias("line"))
+    return rows.sparkSession.createDataFrame([(0, head.rstrip())], "place int, line string").unionByName(body)

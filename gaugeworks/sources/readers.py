@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
@@ -189,6 +190,24 @@ def strict_config(given: dict[str, Any], defaults: dict[str, Any]) -> dict[str,
     return merged
 
 
+def yaml_config(spark: SparkSession, path: str, defaults: dict[str, Any]) -> dict[str, Any]:
+    """A YAML file's settings over the defaults, as ``strict_config`` takes them; an empty file gives
+    the defaults, anything but a mapping is an error."""
+    import yaml
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    given = yaml.safe_load(text)
+    if given is not None and not isinstance(given, dict):
+        raise ValueError(f"{path} holds no settings")
+    return strict_config(given or {}, defaults)
+
+
+def credentials(wanted: dict[str, tuple[str, ...]], env: Mapping[str, str] | None = None) -> list[str]:
+    """The providers all of whose variables are set and not blank; values are never read out."""
+    env = os.environ if env is None else env
+    return sorted(p for p, names in wanted.items() if all(env.get(n, "").strip() for n in names))
+
+
 def call_settings(base: dict[str, Any], extra: dict[str, Any]) -> dict[str, Any]:
     """Settings of a call: extra ones win, None removes."""
     return {k: v for k, v in (base | extra).items() if v is not None}

@@ -190,6 +190,12 @@ def test_upsert_and_replace(spark, tmp_path):
     assert old.count() == 3 and len(list((tmp_path / "t").glob("v-*"))) == 2
 
 
+def test_a_log_is_replayed_by_a_join(spark):
+    log = spark.createDataFrame([("l", "r", 0.1, 1), ("l", "r", 0.7, 2)], "label string, response string, score double, seq int")
+    tasks = spark.createDataFrame([("l", "1", 1, 0, "r"), ("l", "2", 2, 0, "x")], "label string, id string, side int, run int, response string")
+    assert {(r.id, r.score) for r in readers.replayed(tasks, log).collect()} == {("1", 0.7), ("2", None)}
+
+
 def test_live_scores_record_failures(spark):
     def make():
         def score(label, prompt, response):
@@ -206,7 +212,49 @@ def test_live_scores_record_failures(spark):
     assert got == {(0.5, False, None), (None, False, 20), (None, True, 214)}
 
 
-def test_settings():
+def test_sweep_keeps_to_lanes_and_pace(spark, tmp_path):
+    """A lane of cap 1 at 20 calls a second takes its time; a second sweep calls nothing."""
+    import time
+
+    from gaugeworks.sources import sweep as s
+
+    tasks = spark.createDataFrame([("l", "slow", str(i), "response_1", 0, "p", "r") for i in range(12)], "label string, lane string, id string, key string, run int, prompt string, response string")
+    make = lambda attempt: lambda label, prompt, response: 0.5
+    path, began = f"file://{tmp_path}/log", time.monotonic()
+    log = s.sweep(tasks, make, path, {"slow": 1}, {"slow": 20.0})
+    assert time.monotonic() - began > 11 / 20 and log.count() == 12
+    assert s.sweep(tasks, make, path, {}).count() == 12
+    rows = [r.usage for r in log.select("usage").collect()]
+    assert all(u.ok and u.attempt == 1 and u.item_id and u.latency_s >= 0 for u in rows)
+
+
+def test_staged_redraws_resume(spark, tmp_path):
+    from gaugeworks.sources import sweep as s
+
+    plan = {("a", 1): (1, 1), ("b", 1): (2, None), ("b", 2): (1, 1), ("c", 1): (None, None), ("d", 1): (2, None), ("d", 2): (1, 2), ("d", 3): (2, None)}
+    rows = spark.createDataFrame([(k, n, 1, *v) for (k, n), v in plan.items()], "key string, attempt int, intent int, judge1 int, judge2 int")
+    asked = []
+
+    def draw(cells, attempt):
+        asked.append((attempt, sorted(r.key for r in cells.collect())))
+        return rows.where(F.col("attempt") == attempt).join(cells, "key", "left_semi")
+
+    cells = rows.select("key").distinct()
+    for _ in range(2):
+        got = {r.key: (r.state, r.attempt) for r in s.staged(cells, draw, lambda d: d, f"file://{tmp_path}/s", 2).collect()}
+        assert got == {"a": ("kept", 1), "b": ("kept", 2), "c": ("failed", 1), "d": ("rejected", 3)}
+    assert asked == [(1, ["a", "b", "c", "d"]), (2, ["b", "d"]), (3, ["d"])]
+
+
+def test_settings(spark, tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("retries: 3\njudges:\n  - {name: judge2}\n  - {name: judge1}\n")
+    got = readers.yaml_config(spark, str(path), {"retries": 0, "judges": None, "seed": 7})
+    assert (got["retries"], got["seed"], [j["name"] for j in got["judges"]]) == (3, 7, ["judge1", "judge2"])
+    path.write_text("- 1\n")
+    with pytest.raises(ValueError, match="no settings"):
+        readers.yaml_config(spark, str(path), {})
+    assert readers.credentials({"x": ("A", "B"), "y": ("A",), "z": ("C",)}, {"A": "1", "B": " "}) == ["y"]
     assert readers.call_settings({"a": 1, "b": 2}, {"b": None, "c": 3}) == {"a": 1, "c": 3}
     with pytest.raises(ValueError, match="unknown"):
         readers.strict_config({"x": 1}, {"y": 2})
