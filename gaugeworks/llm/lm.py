@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import forget, written
+from gaugeworks.llm.common import drop_finished_shuffles, forget, written
 
 #: Local ids: 0 pads the front of a text, 1 ends it, words follow.
 END, FIRST_WORD = 1, 2
@@ -261,6 +261,7 @@ def _count(all_chunks: DataFrame, order: int, levels: list[Level], fan: int) ->
     for above in [*levels[1:], None]:
         merged.append(written(parts.groupBy("grp", "k", "rng").applyInPandas(merger(above), MERGED), "lm-merged"))
         parts = merged[-1].where("kind = 'part'").drop("kind", "at")
+        drop_finished_shuffles(all_chunks.sparkSession)
     distinct = merged[-1].where("kind = 'distinct' and k = 0").agg(F.sum("rng")).first()[0] or 0
     answers = merged[-1].where("kind = 'answer'").select("sender", "k", "part", F.col("rng").alias("fine"), F.col("counted").alias("every"), F.col("held").alias("apart"))
     for own in reversed(merged[:-1]):
@@ -268,6 +269,7 @@ def _count(all_chunks: DataFrame, order: int, levels: list[Level], fan: int) ->
         own = own.where("kind = 'kept'").select("grp", "k", "rng", "sender", "tuning", "part", "at")
         answers = written(own.groupBy("grp", "k", "rng").cogroup(answers.groupBy("sender", "k", "part")).applyInPandas(answered, ANSWER), "lm-answers")
     forget(*merged)
+    drop_finished_shuffles(all_chunks.sparkSession)
     return answers.select("sender", "k", "part", "every", "apart"), distinct
 
 
