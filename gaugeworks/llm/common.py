@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -68,17 +67,6 @@ def forget(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._gw_path)
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that are written and no longer referenced.
-
-    Spark does so when the driver's JVM collects them as garbage, which may be half an hour away.
-    """
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
-
-
 def release(spark: SparkSession) -> None:
     """Delete all that operators of this session have written; their results can't be read after."""
     remove(spark, shared_root(spark))
