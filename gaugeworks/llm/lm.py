@@ -32,6 +32,9 @@ from gaugeworks.llm.common import forget, written
 END, FIRST_WORD = 1, 2
 #: Keys of the two, apart from any word's by all likelihood of a 64-bit hash.
 PAD_KEY, END_KEY = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Bits that keys of two and more words keep, the highest: an n-gram among 10^9 meets another's key with
+#: a chance of about 10^-8, among 10^12 of 10^-5. Words keep all 64.
+GRAM_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Context-frequency buckets: 0 for unseen, then one for each binary digit of the count.
 BUCKETS = 48
 #: How a document takes part: scored only, counted, or counted but held out for the weights.
@@ -157,7 +160,7 @@ def grams(row, order: int) -> Grams:
         before = np.concatenate([level[:1], level[:-1]])
         before[since == 0] = np.uint64(END_KEY)
         contexts.append(before)
-        level = _pair(before, h) + np.uint64(k)
+        level = (_pair(before, h) + np.uint64(k)) & GRAM_BITS
         keys.append(level)
     return Grams(keys, contexts, lengths, roles)
 
@@ -343,7 +346,7 @@ def score_documents(docs: DataFrame, teaches: Column, order: int = 2, tuning_one
     Tokens are the words, A-Z in lower case, and one end per text. base_score is the sum of
     log10((c + 1) / (N + V + 1)), score the model's log10 probability of the text.
 
-    Words and n-grams are told apart by 64-bit hashes. Defined results: a null or empty text is
+    Words are told apart by 64-bit hashes, n-grams of two and more words by 56-bit ones. Defined results: a null or empty text is
     its end alone; a null id stays null; repeated rows are counted and scored each; with no
     training row only the uniform distribution over one unknown word is left (base 0); an empty
     table gives an empty result. Other columns are ignored.
