@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +33,20 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once a row however often the body names it: plain
+    columns are copied into each place, and every level of nesting multiplies the copies."""
+    return F.transform(F.array(value), body)[0]
+
+
 def outermost_braces(text: Column) -> Column:
     """From the first opening brace to the last closing one, null if they don't enclose anything."""
-    first, back = F.instr(text, "{"), F.instr(F.reverse(text), "}")
-    last = F.length(text) - back + 1
-    return F.when((first > 0) & (back > 0) & (last > first), text.substr(first, last - first + 1))
+    def of(t: Column) -> Column:
+        first, back = F.instr(t, "{"), F.instr(F.reverse(t), "}")
+        last = F.length(t) - back + 1
+        return F.when((first > 0) & (back > 0) & (last > first), t.substr(first, last - first + 1))
+
+    return once(text, of)
 
 
 def lenient_json(text: Column) -> Column:
@@ -44,18 +55,20 @@ def lenient_json(text: Column) -> Column:
     With a fence (three parts or more) only the fenced text is searched for braces. Null where
     nothing parses.
     """
-    whole = stripped(text)
-    parts = F.split(whole, "```")
-    inner = F.try_element_at(parts, F.lit(2))
-    fenced = F.when(F.size(parts) >= 3, stripped(F.when(F.instr(inner, "\n") > 0, F.regexp_replace(inner, r"(?s)^[^\n]*\n", "")).otherwise(inner)))
-    searched = F.coalesce(fenced, whole)
-    return F.coalesce(F.try_parse_json(whole), F.try_parse_json(fenced), F.try_parse_json(outermost_braces(searched)))
+    def inside(inner: Column) -> Column:
+        return stripped(F.when(F.instr(inner, "\n") > 0, F.regexp_replace(inner, r"(?s)^[^\n]*\n", "")).otherwise(inner))
+
+    def of(whole: Column) -> Column:
+        fenced = once(F.split(whole, "```"), lambda parts: F.when(F.size(parts) >= 3, once(F.try_element_at(parts, F.lit(2)), inside)))
+        rest = once(fenced, lambda f: F.coalesce(F.try_parse_json(f), F.try_parse_json(outermost_braces(F.coalesce(f, whole)))))
+        return F.coalesce(F.try_parse_json(whole), rest)
+
+    return once(stripped(text), of)
 
 
 def json_object(text: Column) -> Column:
     """lenient_json where it is an object; a bare number or list is no answer."""
-    parsed = lenient_json(text)
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return once(lenient_json(text), lambda parsed: F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed))
 
 
 def _in_range(value: Column) -> Column:
@@ -67,7 +80,7 @@ def extract_score(reply: Column) -> Column:
 
     A parsed object's score wins; then, pattern by pattern, the last match in range.
     """
-    stated = _in_range(F.try_variant_get(json_object(reply), "$.score", "double"))
+    stated = once(F.try_variant_get(json_object(reply), "$.score", "double"), _in_range)
     found = [
         F.try_element_at(F.filter(F.transform(F.regexp_extract_all(reply, F.lit(p), F.lit(1)), lambda x: x.try_cast("double")), lambda x: (x >= 0) & (x <= 1)), F.lit(-1))
         for p in SCORE_PATTERNS
@@ -78,14 +91,14 @@ def extract_score(reply: Column) -> Column:
 def extract_verdict(reply: Column) -> Column:
     """A or B, or null: a parsed object's answer, else the last match of the first pattern that
     matches at all."""
-    said = F.upper(stripped(F.try_variant_get(json_object(reply), "$.answer", "string")))
+    said = once(F.upper(stripped(F.try_variant_get(json_object(reply), "$.answer", "string"))), lambda x: F.when(x.isin("A", "B"), x))
     found = [F.upper(F.try_element_at(F.regexp_extract_all(reply, F.lit(p), F.lit(1)), F.lit(-1))) for p in ANSWER_PATTERNS]
-    return F.coalesce(F.when(said.isin("A", "B"), said), *found)
+    return F.coalesce(said, *found)
 
 
 def chosen_side(verdict: Column, a_is_response_1: Column) -> Column:
     """1 or 2: what a verdict means after the order of presentation is undone."""
-    return F.when(verdict == "A", F.when(a_is_response_1, 1).otherwise(2)).when(verdict == "B", F.when(a_is_response_1, 2).otherwise(1))
+    return once(verdict, lambda v: F.when(v == "A", F.when(a_is_response_1, 1).otherwise(2)).when(v == "B", F.when(a_is_response_1, 2).otherwise(1)))
 
 
 def split_reasoning(content: Column, separate: Column) -> Column:
@@ -111,14 +124,15 @@ def usage_count(value: Column) -> Column:
 
 def level_map(reply: Column, levels: tuple[str, ...]) -> Column:
     """level -> stripped text of a generator's reply; '' for a missing level."""
-    parsed = json_object(reply)
-    values = [F.coalesce(stripped(F.try_variant_get(parsed, f"$.{x}", "string")), F.lit("")) for x in levels]
-    return F.map_from_arrays(F.array(*(F.lit(x) for x in levels)), F.array(*values))
+    def texts(parsed: Column) -> Column:
+        return F.array(*(F.coalesce(stripped(F.try_variant_get(parsed, f"$.{x}", "string")), F.lit("")) for x in levels))
+
+    return F.map_from_arrays(F.array(*(F.lit(x) for x in levels)), once(json_object(reply), texts))
 
 
 def all_levels_filled(instructions: Column, levels: tuple[str, ...]) -> Column:
     wanted = F.array(*(F.lit(x) for x in levels))
-    return F.forall(wanted, lambda x: F.coalesce(stripped(F.try_element_at(instructions, x)), F.lit("")) != "")
+    return once(instructions, lambda held: F.forall(wanted, lambda x: F.coalesce(stripped(F.try_element_at(held, x)), F.lit("")) != ""))
 
 
 def retrieved_documents(content: Column) -> Column:

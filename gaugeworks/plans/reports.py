@@ -95,8 +95,9 @@ def prompts(t: Tables) -> DataFrame:
 def generated(t: Tables) -> DataFrame:
     """Generator replies with levels, one of them blank for every third part."""
     reply = F.concat(F.lit('Sure:\n```json\n{"bad": " b ", "good": "'), F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.col("p_name")), F.lit('"}\n```'))
-    m = extract.level_map(reply, ("bad", "good"))
-    return t.part.select(F.col("p_partkey").alias("id"), m["bad"].alias("bad"), m["good"].alias("good"), extract.all_levels_filled(m, ("bad", "good")).alias("complete"))
+    m = F.col("m")  # a column of its own, so that it is read three times and evaluated once
+    parts = t.part.select(F.col("p_partkey").alias("id"), extract.level_map(reply, ("bad", "good")).alias("m"))
+    return parts.select("id", m["bad"].alias("bad"), m["good"].alias("good"), extract.all_levels_filled(m, ("bad", "good")).alias("complete"))
 
 
 def sides_chosen(t: Tables) -> DataFrame:

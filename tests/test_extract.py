@@ -91,3 +91,14 @@ def test_text_forms(spark):
     assert one(text.one_line(F.lit("phone number, address of it"), 16)) == "phone number ..."
     assert one(text.word_count(F.lit("a b  c"))) == 3
     assert one(text.sections(Task=F.lit("t"), Empty=F.lit(" "), Other_part=F.lit("o"))) == "## Task\nt\n\n## Other part\no"
+
+
+def test_replies_are_parsed_once(spark):
+    """The reply stands once in the plan: copies of it in nested steps were parsed some hundred times a row."""
+    rows = spark.createDataFrame([('Sure:\n```json\n{"bad": " b ", "good": " "}\n```',), ('{"bad": "x", "good": "y"} bye',), ("[1]",), (None,)], "raw string")
+    levels = extract.level_map(F.col("raw"), ("bad", "good"))
+    told = rows.select(levels.alias("m"), extract.all_levels_filled(extract.level_map(F.col("raw"), ("bad", "good")), ("bad", "good")).alias("all"))
+    assert [(r.m["bad"], r.m["good"], r["all"]) for r in told.collect()] == [("b", "", False), ("x", "y", True), ("", "", False), ("", "", False)]
+    for column, most in ((extract.json_object, 1), (lambda x: extract.level_map(x, ("bad", "good")), 1), (extract.extract_verdict, 3), (extract.extract_score, 5)):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("raw")).repartition(2).select(column(F.col("raw")).alias("v"))._jdf.queryExecution().optimizedPlan()
+        assert plan.expressions().apply(0).toString().count("raw#") <= most
