@@ -246,6 +246,27 @@ def test_staged_redraws_resume(spark, tmp_path):
     assert asked == [(1, ["a", "b", "c", "d"]), (2, ["b", "d"]), (3, ["d"])]
 
 
+def test_staged_redraws_join_two_tables(spark, tmp_path):
+    """What is open is read from a table: each attempt's plan is as large as the one before, and cells
+    that are never drawn, or drawn late, stay open."""
+    from gaugeworks.sources import sweep as s
+
+    plan = {("a", 1): 1, ("b", 1): 2, ("b", 2): 2, ("b", 3): 2, ("b", 4): 1, ("late", 3): 1}
+    rows = spark.createDataFrame([(k, n, 1, v, 1) for (k, n), v in plan.items()], "key string, attempt int, intent int, judge1 int, judge2 int")
+    asked, joins = [], []
+
+    def draw(cells, attempt):
+        asked.append(sorted(r.key for r in cells.collect()))
+        joins.append(cells._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return rows.where(F.col("attempt") == attempt).join(cells, "key", "left_semi")
+
+    cells = spark.createDataFrame([("a",), ("b",), ("late",), ("never",)], "key string")
+    got = {r.key: (r.state, r.attempt) for r in s.staged(cells, draw, lambda d: d, f"file://{tmp_path}/s", 3).collect()}
+    assert got == {"a": ("kept", 1), "b": ("kept", 4), "late": ("kept", 3)}
+    assert asked == [["a", "b", "late", "never"], ["b", "late", "never"], ["b", "late", "never"], ["b", "never"]]
+    assert joins == [0] * 4
+
+
 def test_settings(spark, tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("retries: 3\njudges:\n  - {name: judge2}\n  - {name: judge1}\n")
