@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def task_grid(labels: DataFrame, pairs: DataFrame, n_runs: int) -> DataFrame:
-    """Every (label, id, run): the labels are a roster of a few rows, so they are broadcast."""
-    runs = pairs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
-    return runs.crossJoin(F.broadcast(labels))
+from gaugeworks.sources.shared import fresh_folder
 
 
 def higher_score(score_1: Column, score_2: Column) -> Column:
@@ -17,23 +13,49 @@ def higher_score(score_1: Column, score_2: Column) -> Column:
     return F.when(score_1 > score_2, F.lit(1)).when(score_2 > score_1, F.lit(2))
 
 
+def gathered_scores(scores: DataFrame, n_runs: int) -> DataFrame:
+    """A written table of one row per id: its labels, each with the scores of both sides by run.
+
+    Written because it is read twice, for the labels and for the runs: as a plan, what makes the scores
+    would be run for each. The list holds one entry per label of the roster.
+    """
+    at = [F.max(F.when((F.col("side") == side) & (F.col("run") == run), F.col("score"))) for run in range(n_runs) for side in (1, 2)]
+    per_label = scores.groupBy("label", "id").agg(F.array(*at).alias("scores"), F.max(F.col("score").isNotNull()).alias("alive"))
+    table = per_label.groupBy("id").agg(F.collect_list(F.struct("label", "scores", "alive")).alias("by_label"))
+    path = fresh_folder(scores.sparkSession, "scores")
+    table.write.parquet(path)
+    return scores.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def assemble_pairs(scores: DataFrame, pairs: DataFrame, n_runs: int = 3) -> DataFrame:
+    """One row per (label, id) with ``runs``, an array of (run, score_1, score_2), null where missing.
+
+    ``scores`` (label, id, side, run, score) may lack rows. The labels are those with a score: one
+    without any has no rows. Pairs meet scores by id, before they are repeated for labels and runs.
+    """
+    table = gathered_scores(scores, n_runs)
+    alive = table.select(F.explode("by_label").alias("x")).where("x.alive").select(F.col("x.label").alias("label")).distinct()
+    met = pairs.join(table, "id", "left").crossJoin(F.broadcast(alive))  # a roster of a few rows
+    own = F.get(F.filter("by_label", lambda x: x.label == F.col("label")), F.lit(0))["scores"]
+    runs = F.array(*(F.struct(F.lit(r).alias("run"), F.get("own", F.lit(2 * r)).alias("score_1"), F.get("own", F.lit(2 * r + 1)).alias("score_2")) for r in range(n_runs)))
+    return met.withColumn("own", own).select("label", *pairs.columns, runs.alias("runs"))
+
+
 def assemble_runs(scores: DataFrame, pairs: DataFrame, n_runs: int = 3) -> DataFrame:
     """One row per (label, id, run) of the grid, with both scores and the preference.
 
-    ``scores`` (label, id, side, run, score) may lack rows; a side without a score makes the run an
-    error. The labels are those with a score: one without any has no rows. ``pairs`` carries
-    correct_response and whatever axes later steps slice by.
+    A side without a score makes the run an error. ``pairs`` carries correct_response and whatever
+    axes later steps slice by.
     """
-    sides = scores.groupBy("label", "id", "run").agg(
-        F.max(F.when(F.col("side") == 1, F.col("score"))).alias("score_1"),
-        F.max(F.when(F.col("side") == 2, F.col("score"))).alias("score_2"),
-    )
-    # From the log itself: two of its columns, combined on the map side, not the sides once more.
-    alive = scores.where(F.col("score").isNotNull()).select("label").distinct()
-    grid = task_grid(alive, pairs, n_runs)
-    out = grid.join(sides, ["label", "id", "run"], "left")
+    rest = [c for c in pairs.columns if c != "id"]
+    out = assemble_pairs(scores, pairs, n_runs).select("label", *pairs.columns, F.explode("runs").alias("r"))
+    return preferred(out.select("label", "id", "r.run", *rest, "r.score_1", "r.score_2"))
+
+
+def preferred(runs: DataFrame) -> DataFrame:
+    """Adds the preference of two scores, whether one is missing, and whether it is the right one."""
     higher = higher_score(F.col("score_1"), F.col("score_2"))
-    return out.withColumns({
+    return runs.withColumns({
         "higher_score": higher,
         "is_error": F.col("score_1").isNull() | F.col("score_2").isNull(),
         "correct": F.coalesce(higher == F.col("correct_response"), F.lit(False)),

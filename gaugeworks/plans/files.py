@@ -151,7 +151,9 @@ def having(t: Tables) -> DataFrame:
 
 def roster_results(t: Tables) -> DataFrame:
     """Results of a roster in its order with their usage, absent for some; others are ignored."""
-    results = metrics.summary(runs(t)).select("label", "n_scored")
+    summary, path = metrics.summary(runs(t)).select("label", "n_scored"), fresh_folder(t.spark, "results")
+    summary.write.parquet(path)  # a row per label, of which roster and usage are made
+    results = t.spark.read.schema(summary.schema).parquet(path)
     roster = results.select("label").where("label <> 'NF'").withColumn("position", F.length("label") - F.ascii("label"))
     usage = results.where("label like '%O'").select("label", (F.col("n_scored") * 2).alias("n_calls"))
     return reporting.of_roster(roster, reporting.with_usage(results, usage))

@@ -23,6 +23,40 @@ def runs_of(spark, rows):
     return preference.assemble_runs(scores, pairs, 2)
 
 
+def test_scores_are_made_once(spark):
+    """Repeated scores, pairs and ids, labels and runs beyond the grid; what makes the scores runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    kinds = "label string, id string, side int, run int, score double"
+    rows = [("a", "p1", 1, 0, 0.9), ("a", "p1", 1, 0, 0.2), ("a", "p1", 2, 0, 0.1), ("a", "lost", 1, 0, 0.5), ("late", "p1", 1, 7, 0.5), ("null", None, 1, 0, 0.5), (None, "p1", 1, 0, 0.5), ("b", "p1", 1, 0, None), ("a", "p2", 2, 1, 0.3)]
+    scores = spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)
+    pairs = spark.createDataFrame([("p1", 1, "x"), ("p1", 2, "y"), ("p2", 1, "x"), (None, 1, "x")], "id string, correct_response int, criterion string")
+    runs = preference.assemble_runs(scores, pairs, 2)
+    got = sorted(((r.label, r.id, r.run, r.criterion, r.score_1, r.score_2, r.higher_score, r.is_error, r.correct) for r in runs.collect()), key=repr)
+    held = {(la, i, run, side): max(s for x, y, z, w, s in rows if (x, y, z, w) == (la, i, side, run) and s is not None) for la, i, side, run, s in rows if s is not None and la and i}
+    want = []
+    for la in ("a", "late", "null", None):
+        for p in pairs.collect():
+            for run in (0, 1):
+                x, y = held.get((la, p.id, run, 1)), held.get((la, p.id, run, 2))
+                higher = None if x is None or y is None or x == y else 1 if x > y else 2
+                want.append((la, p.id, run, p.criterion, x, y, higher, x is None or y is None, higher == p.correct_response))
+    assert got == sorted(want, key=repr)
+    assert metrics.summary(runs).count() == 4 and made.value == len(rows)
+
+
+def test_roster_results_summarize_once(spark):
+    from gaugeworks import catalog
+
+    plan = catalog.queries()["roster_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
 def test_ties_and_errors_are_wrong_and_silent_labels_vanish(spark):
     rows = [("a", "p1", 1, 0, 0.9), ("a", "p1", 2, 0, 0.1), ("a", "p1", 1, 1, 0.5), ("a", "p1", 2, 1, 0.5), ("a", "p2", 1, 0, 0.4), ("a", "p2", 2, 0, None), ("b", "p1", 1, 0, None)]
     runs = runs_of(spark, rows)
