@@ -30,6 +30,16 @@ def pick(number: Column, *names: str) -> Column:
 GAP_NAMES = ("narrow_low", "narrow_high", "wide")
 
 
+def side_by_side(large: DataFrame, key: str, other: DataFrame, other_key: str, rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Both dealt by their keys into partitions of about ``rows`` rows of the large one, so that a task's
+    memory in their join stays the same however large they are: Spark sizes partitions by compressed
+    bytes, and sorted keys compress well. Tables of few rows are left to Spark."""
+    n = -(-large.count() // rows)
+    if n <= large.sparkSession.sparkContext.defaultParallelism:
+        return large, other
+    return large.repartition(n, key), other.repartition(n, other_key)
+
+
 def pairs(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     nation = t.nation.select("n_nationkey", F.col("n_name").alias("domain"))
@@ -41,6 +51,7 @@ def pairs(t: Tables) -> DataFrame:
 def scores(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("label"))
     orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("id"))
+    lines, orders = side_by_side(lines, "l_orderkey", orders, "o_orderkey")
     cells = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         "label", "id", (F.col("l_partkey") % 2 + 1).cast("int").alias("side"), (F.col("l_linenumber") % 3).cast("int").alias("run"))
     cells = cells.agg(F.sum("l_partkey").alias("s"), F.count("*").alias("n"))

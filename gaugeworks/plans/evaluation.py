@@ -89,7 +89,7 @@ QUERIES = {
         sql("pairs scores runs", """select label, count(*) n_pairs, cast(sum((picks = 0)::int) as bigint) always_tied, cast(sum((vals = 1 and picks = n)::int) as bigint) stable, cast(sum((vals >= 1 and picks < n)::int) as bigint) wobbled, cast(sum((vals = 2 and picks = n)::int) as bigint) flipped
             from (select label, id, count(*) n, count(distinct higher_score) vals, count(higher_score) picks from runs group by all having count(*) >= 2) group by label"""),
     ),
-    "metrics_by_criterion": (lambda t: rounded(metrics.run_metrics(runs(t))), sql("pairs scores runs", "," + _MACRO)),
+    "metrics_by_criterion": (lambda t: rounded(metrics.run_metrics(preference.assemble_pairs(a.scores(t), metrics.copies(a.pairs(t))))), sql("pairs scores runs", "," + _MACRO)),
     "commit_report": (
         lambda t: rounded(metrics.commitment(runs(t)).orderBy(F.col("acc_pct").desc_nulls_last())),
         sql("pairs scores runs", "," + _COMMIT + " select c.label, round(acc_pct, 9) acc_pct, round(tie_pct, 9) tie_pct, errs, round(commit_pct, 9) commit_pct, round(acc_committed_pct, 9) acc_committed_pct, levels from commitment c join levels l on c.label = l.label"),

@@ -57,6 +57,37 @@ def test_roster_results_summarize_once(spark):
     assert "lineitem" not in plan and "l_orderkey" not in plan
 
 
+def test_metrics_by_criterion_in_one_pass(spark, tmp_path):
+    """As in SQL with repeated customers and without segments; no table of responses is grouped."""
+    import re
+    from pathlib import Path
+
+    from gaugeworks import catalog
+    from tests.oracle import assert_equal, connect
+
+    sf = Path("/root/testdata/sf0.001")
+    for x in sf.iterdir():
+        if x.name != "customer.parquet":
+            (tmp_path / x.name).symlink_to(x)
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    customers = customers.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")))
+    other = customers.where("c_custkey % 10 = 2").withColumn("c_mktsegment", F.lit("OTHER"))
+    customers.unionByName(customers.where("c_custkey % 5 = 1")).unionByName(customers.where("c_custkey % 15 = 1")).unionByName(other).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = catalog.queries()["metrics_by_criterion"](spark, str(tmp_path))
+    assert_equal(df, connect(str(tmp_path)), catalog.oracle_sql()["metrics_by_criterion"])
+    assert not re.search(r"Aggregate \[label#\d+, criterion#\d+, id#\d+", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_joined_tables_are_dealt_by_rows(spark):
+    from gaugeworks.plans import adapters
+
+    lines, orders = spark.range(100).selectExpr("id % 20 k", "id n"), spark.range(20).selectExpr("id o")
+    assert adapters.side_by_side(lines, "k", orders, "o")[0] is lines
+    dealt = adapters.side_by_side(lines, "k", orders, "o", 10)
+    assert [x.rdd.getNumPartitions() for x in dealt] == [10, 10]
+    assert dealt[0].join(dealt[1], F.col("k") == F.col("o")).count() == 100
+
+
 def test_ties_and_errors_are_wrong_and_silent_labels_vanish(spark):
     rows = [("a", "p1", 1, 0, 0.9), ("a", "p1", 2, 0, 0.1), ("a", "p1", 1, 1, 0.5), ("a", "p1", 2, 1, 0.5), ("a", "p2", 1, 0, 0.4), ("a", "p2", 2, 0, None), ("b", "p1", 1, 0, None)]
     runs = runs_of(spark, rows)
