@@ -14,14 +14,19 @@ from gaugeworks.llm.common import forget, written
 EDGE = "a long, b long"
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 1 << 18) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the component's smallest node.
 
-    Alternating large-star and small-star steps, O(log^2 n) rounds, each written to the shared
-    folder. A node's least neighbour comes from an aggregation that combines on the map side and
-    is joined back, so a hub is never gathered in one task: Spark splits its side of the join.
+    Up to ``one_task`` edges (4 MB) are joined by one task, in one step. More take alternating
+    large-star and small-star steps, O(log^2 n) rounds, each written to the shared folder. A node's
+    least neighbour comes from an aggregation that combines on the map side and is joined back, so
+    a hub is never gathered in one task: Spark splits its side of the join.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    if now.count() <= one_task:
+        return now.coalesce(1).mapInPandas(roots, "node long, root long")
+    old, now = now, written(now.distinct(), "edges")
+    forget(old)
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -62,6 +67,16 @@ def forest(nodes: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[parent[moved]]], 1)
 
 
+def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) for every node of the edges in all of one task's batches."""
+    ends = [batch[["a", "b"]].to_numpy(np.int64) for batch in batches if len(batch)]
+    if ends:
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        at, parent = at.reshape(-1, 2), np.arange(len(nodes))
+        join_roots(parent, at[:, 0], at[:, 1])
+        yield pd.DataFrame({"node": nodes, "root": nodes[parent]})
+
+
 def compare_in_blocks(members: DataFrame, columns: list[str], one: Callable[[pd.DataFrame], np.ndarray], two: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block: int) -> DataFrame:
     """Edges between the members (node, root, ``columns``) of each group ``root``.
 

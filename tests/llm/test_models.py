@@ -40,6 +40,21 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_one_step(spark, monkeypatch):
+    """A few edges write one table, however long their chains; rounds give the same components."""
+    rng = np.random.default_rng(4)
+    path = rng.permutation(900) + 10**10
+    links = [(int(a), int(b)) for a, b in zip(path, path[1:], strict=False)] * 2 + [(7, 7), (3, None), (1, 2), (-4, 2)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, tag: (tables.append(tag), common.written(df, tag))[1])
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert tables == ["edges"]
+    assert got == {int(n): 10**10 for n in path} | {1: -4, 2: -4, -4: -4}
+    rounds = {r.node: r.root for r in components.components(edges, one_task=1500).collect()}
+    assert rounds == got and len(tables) > 3
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
