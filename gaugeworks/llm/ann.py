@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import forget, written
 from gaugeworks.llm.metric_join import usable
 
+#: How many vectors are copied at a time, in searches and when nodes choose among those that chose them.
+WEIGHED = 1 << 14
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -76,6 +79,15 @@ def diverse(x: np.ndarray, candidates: np.ndarray, nearness: np.ndarray, keep: i
     return np.pad(out, ((0, 0), (0, max(0, keep - out.shape[1]))), constant_values=-1).astype(np.int32)
 
 
+def products(q: np.ndarray, rows: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The inner product of q[rows[i]] and x[nodes[i]] for every i."""
+    out = np.empty(len(rows), np.float32)
+    for lo in range(0, len(rows), WEIGHED):
+        at = slice(lo, lo + WEIGHED)
+        np.einsum("ij,ij->i", q[rows[at]], x[nodes[at]], out=out[at])
+    return out
+
+
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray, beam: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Per row of ``q`` the at most ``beam`` best nodes met in a layer's graph, best first, and
     their scores; searches start at the nodes ``at`` and open ``step`` nodes a round. -1 fills."""
@@ -103,7 +115,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray,
         r, c = np.nonzero(fresh)
         node = near[r, c]
         seen[active[r], node] = True
-        found = np.einsum("ij,ij->i", q[active[r]], x[node])
+        found = products(q, active[r], x, node)
         better = found > score[active[r]].min(1)
         r, node, found = r[better], node[better], found[better]
         counts = np.bincount(r, minlength=len(active))
@@ -170,9 +182,15 @@ def insert(x: np.ndarray, links: np.ndarray, lo: int, hi: int, at: np.ndarray, d
     every[np.repeat(np.arange(len(met)), counts), np.repeat(held, counts) + place] = src
     fits = held + counts <= 2 * degree
     links[met[fits]] = every[fits, : 2 * degree]
+    # The widest first, each part only as wide as its own: one hub does not widen all others' rows.
     full = np.flatnonzero(~fits)
-    if len(full):
-        nodes, many = met[full], every[full]
+    full = full[np.argsort(-(held + counts)[full], kind="stable")]
+    lo = 0
+    while lo < len(full):
+        wide = int((held + counts)[full[lo]])
+        part = full[lo : lo + max(1, WEIGHED // wide)]
+        lo += len(part)
+        nodes, many = met[part], every[part, :wide]
         near = np.where(many >= 0, np.einsum("ij,ikj->ik", x[nodes], x[many]), -np.inf)
         order = np.argsort(-near, 1)
         many, near = np.take_along_axis(many, order, 1), np.take_along_axis(near, order, 1)
@@ -246,9 +264,10 @@ def build_index(vectors: DataFrame, shard_rows: int, degree: int, breadth: int)
     dealt = vectors.join(F.broadcast(plan), F.col("dim") == F.col("d")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(first=[i[0] for i in group["ids"]], whole=[tuple(v) for v in group["vector"]]).sort_values(["first", "whole"])
         x = np.stack([np.asarray(v, np.float64) for v in group["vector"]])
-        graph = build_graph([np.asarray(i, np.int64) for i in group["ids"]], x, float(group["top"].iloc[0]), degree, breadth)
+        order = np.lexsort((*x.T[::-1], [i[0] for i in group["ids"]]))
+        ids = [np.asarray(group["ids"].iloc[i], np.int64) for i in order]
+        graph = build_graph(ids, x[order], float(group["top"].iloc[0]), degree, breadth)
         return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [graph.to_bytes()]})
 
     index = dealt.select("ids", "dim", "vector", "shard", "top").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
@@ -301,8 +320,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
             for row in range(len(part)):
                 real = found[row] >= 0
                 got, best = expand(graph, found[row][real], score[row][real], ids[lo + row], k)
-                out.append(pd.DataFrame({"query_id": ids[lo + row], "vec_id": got, "score": best}))
-        return pd.concat(out)[columns]
+                out.append((np.full(len(got), ids[lo + row]), got, best))
+        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     near = served.groupBy("dim", "shard", "wave").cogroup(sent.groupBy("of", "to", "wave")).applyInPandas(run, "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -1,6 +1,7 @@
 """Language model, classifier, search, vector join and near-dedup against brute force."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -302,6 +303,23 @@ def test_recall_of_the_registered_query(spark):
     assert np.mean([len(got[ids[a]] & set(b.tolist())) / 20 for a, b in zip(asked, best, strict=True)]) >= 0.95
 
 
+def test_insertion_holds_little_where_hubs_are():
+    """One node chosen by a whole batch does not widen the rows of all others that are full."""
+    rng = np.random.default_rng(6)
+    n, degree = 4096, 20
+    x = ann.lift(rng.normal(size=(n, 64)), 20.0)
+    x[: n - 512] = x[: n - 512] * np.float32(0.5)
+    x[0] = x[n - 512 :].mean(0) * 20  # nearest to every new node
+    links = np.full((n, 2 * degree), -1, np.int32)
+    links[: n - 512] = rng.integers(0, n - 512, (n - 512, 2 * degree))
+    tracemalloc.start()
+    ann.insert(x, links, n - 512, n, np.zeros(512, np.int64), degree, 40)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert (links[n - 512 :] == 0).any(1).sum() > 400
+    assert most < 60
+
+
 def test_graph_search_finds_neighbours():
     """Recall within one shard of several thousand nodes, built by insertion in many batches."""
     rng = np.random.default_rng(9)
